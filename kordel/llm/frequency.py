@@ -25,9 +25,9 @@ def _per_record(values: Column, kind: str) -> Column:
             F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
             lambda i: (i == 1) | (F.element_at(sorted_values, i) != F.element_at(sorted_values, F.greatest(i - 1, F.lit(1)))),
         )
-        ends = F.concat(F.when(F.size(starts) > 0, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1)))).otherwise(starts), F.array(n + 1))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
         return F.zip_with(
-            starts, F.slice(ends, 1, F.greatest(F.size(starts), F.lit(1))),
+            starts, F.slice(ends, 1, F.size(starts)),
             lambda a, b: F.struct(F.lit(kind).alias("kind"), F.element_at(sorted_values, a).alias("val"), (b - a).cast("bigint").alias("occ")),
         )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kordel.common import table
-from kordel.llm import copies, frequency
+from kordel.llm import copies, frequency, lookalike, residue
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.representatives(table(spark, d, "canonical"), "canon_id", "input", "intent")[1]
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return residue.entries(table(spark, d, "canonical"), table(spark, d, "multilingual_intents"))
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every entry that is stored otherwise."""
+    e = residue.split_residue(_entries(spark, d), "text").where("not is_residue")
+    return lookalike.same_form(e, "text", "form", lookalike.member_frequency(_entries(spark, d), "text")).where("form != text").select("src", "lang", "id", "text", "form")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    e = residue.split_residue(_entries(spark, d), "text").where("not is_residue")
+    return lookalike.same_look_pairs(e, lookalike.member_frequency(_entries(spark, d), "text"))
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = _entries(spark, d)
+    return residue.residue_scores(e, "text", e, "text").select("src", "lang", "id", "text", "coverage")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.split_residue(_entries(spark, d), "text").where("is_residue").select("src", F.col("id").alias("rec_id"), "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p6_scores, p6_found)
 }
