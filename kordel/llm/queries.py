@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kordel.common import table
-from kordel.llm import copies, frequency, lookalike, residue
+from kordel.llm import copies, frequency, language, lookalike, residue
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +43,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(e, lookalike.member_frequency(_entries(spark, d), "text"))
 
 
+def _language_model(spark: SparkSession, d: str) -> language.Model:
+    return language.fit(table(spark, d, "families"), "input", "language")
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of families with its language and confidence."""
+    rows = language.identify(table(spark, d, "families").select("fam_id", "input"), "input", _language_model(spark, d))
+    return rows.select("fam_id", F.posexplode("segments").alias("segment", "s")).select("fam_id", "segment", "s.lang", "s.confidence", "s.start")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _language_model(spark, d)
+    a = language.label_cases(table(spark, d, "families"), model).select(F.lit("families").alias("src"), "rec_id", "lang")
+    canonical = table(spark, d, "canonical").select("canon_id", "input")
+    b = residue.split_residue(language.foreign_cases(canonical, model), "input", canonical.where("input is not null"), "input")
+    return a.unionByName(b.where("not is_residue").select(F.lit("canonical").alias("src"), "rec_id", "lang"))
+
+
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
     return residue.residue_scores(e, "text", e, "text").select("src", "lang", "id", "text", "coverage")
@@ -53,5 +71,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p6_scores, p6_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p6_scores, p6_found)
 }
