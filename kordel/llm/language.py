@@ -71,7 +71,7 @@ _SCRIPTS = [
 GRAMS, UNSEEN_WEIGHT, FLOOR = (5, 4, 3, 2, 1), 0.25, -8.0
 #: A word is known where its occurrences differ from the languages' shares by this log likelihood ratio and at most two
 #: languages hold KNOWN_SHARE of it; names, which stand in any language, stay unknown. A second segment must win by SEGMENT_GAIN, and so must its language within it.
-KNOWN_RATIO, KNOWN_SHARE, STRAY, SEGMENT_GAIN = 18.0, 0.85, 0.05, 5.0
+KNOWN_RATIO, KNOWN_SHARE, STRAY, SEGMENT_GAIN = 24.0, 0.85, 0.15, 5.0
 
 
 def words(text: str) -> list[str]:
@@ -133,9 +133,9 @@ class Model:
         for w, n in total.items():
             own = [self.counts[x][w] for x in LANGUAGES]
             rates = [c / sums[x] for c, x in zip(own, LANGUAGES, strict=True)]
+            rates = [r if r > STRAY * max(rates) else 0.0 for r in rates]  # the rest comes from wrong labels and mixtures
             if sum(sorted(rates)[-2:]) >= KNOWN_SHARE * sum(rates) and sum(c * math.log(c * rows_of / (n * sums[x])) for c, x in zip(own, LANGUAGES, strict=True) if c) >= KNOWN_RATIO:
-                top = max(rates)  # what is left below STRAY of it comes from wrong labels and unnoticed mixtures
-                self.known[w] = tuple(max(FLOOR, math.log(r / top)) if r > STRAY * top else FLOOR for r in rates)
+                self.known[w] = tuple(math.log(r / max(rates)) if r else FLOOR for r in rates)
         grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in GRAMS]
         for i, x in enumerate(LANGUAGES if with_grams else ()):
             for w, n in self.counts[x].items():
