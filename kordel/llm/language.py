@@ -69,9 +69,10 @@ _SCRIPTS = [
 ]
 #: n-grams of unseen words, longest first; the weight of a language's evidence from them; the floor of a log probability.
 GRAMS, UNSEEN_WEIGHT, FLOOR = (5, 4, 3, 2, 1), 0.25, -8.0
-#: A word is known where its occurrences differ from the languages' shares by this log likelihood ratio and at most two
+#: A word is known where its occurrences differ from the languages' shares by this log likelihood ratio (the second: among
+#: the languages of its script) and at most two
 #: languages hold KNOWN_SHARE of it; names, which stand in any language, stay unknown. A second segment must win by SEGMENT_GAIN, and so must its language within it.
-KNOWN_RATIO, KNOWN_SHARE, STRAY, SEGMENT_GAIN = 24.0, 0.85, 0.15, 5.0
+KNOWN_RATIO, SCRIPT_RATIO, KNOWN_SHARE, STRAY, SEGMENT_GAIN = 24.0, 6.0, 0.85, 0.15, 5.0
 
 
 def words(text: str) -> list[str]:
@@ -117,6 +118,18 @@ _TWINS = {p[0] for p in lookalike.CYRILLIC + lookalike.GREEK}
 _OWN = re.compile("[" + _char_class(lambda o: 0x370 <= o <= 0x52F and chr(o) not in _TWINS and unicodedata.category(chr(o))[0] == "L") + "]")
 
 
+def has_own_letters(text: str) -> bool:
+    """Whether some Cyrillic or Greek letter has no Latin twin."""
+    return _OWN.search(text) is not None
+
+
+def _ratio(own: list[int], sums: dict[str, int], among) -> float:
+    """Log likelihood ratio of the counts against the languages' shares."""
+    kept = [(c, sums[x]) for c, x in zip(own, LANGUAGES, strict=True) if x in among]
+    n, mass = sum(c for c, _ in kept), sum(m for _, m in kept)
+    return sum(c * math.log(c * mass / (n * m)) for c, m in kept if c)
+
+
 class Model:
     """Scores of words and n-grams; picklable, of the size of the fitted sample."""
 
@@ -128,13 +141,13 @@ class Model:
         for c in self.counts.values():
             total.update(c)
         sums = {x: sum(c.values()) + 1 for x, c in self.counts.items()}
-        rows_of = sum(sums.values())
         self.known: dict[str, tuple[float, ...]] = {}
         for w, n in total.items():
             own = [self.counts[x][w] for x in LANGUAGES]
             rates = [c / sums[x] for c, x in zip(own, LANGUAGES, strict=True)]
             rates = [r if r > STRAY * max(rates) else 0.0 for r in rates]  # the rest comes from wrong labels and mixtures
-            if sum(sorted(rates)[-2:]) >= KNOWN_SHARE * sum(rates) and sum(c * math.log(c * rows_of / (n * sums[x])) for c, x in zip(own, LANGUAGES, strict=True) if c) >= KNOWN_RATIO:
+            fits = next((ls for p, ls in _SCRIPTS if p.search(w)), frozenset())
+            if sum(sorted(rates)[-2:]) >= KNOWN_SHARE * sum(rates) and _ratio(own, sums, LANGUAGES) >= KNOWN_RATIO and (len(fits) < 2 or _ratio(own, sums, fits) >= SCRIPT_RATIO):
                 self.known[w] = tuple(math.log(r / max(rates)) if r else FLOOR for r in rates)
         grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in GRAMS]
         for i, x in enumerate(LANGUAGES if with_grams else ()):
@@ -183,7 +196,9 @@ class Model:
         inside = [i for i, x in enumerate(LANGUAGES) if x in fits]
         order = sorted(inside, key=lambda i: -score[i])
         clear = len(order) == 1 or score[order[0]] - score[order[1]] > 4
-        return tuple((0.0 if not clear or i == order[0] else -UNSEEN_WEIGHT * 4) if i in inside else -8.0 if fits != _SCRIPTS[0][1] else 0.0 for i in range(len(LANGUAGES)))
+        # a lone word of another script may be a name; only several make a segment
+        foreign = 0.0 if fits == _SCRIPTS[0][1] else -0.75 if _PIECED.match(word) else -2.0
+        return tuple((0.0 if not clear or i == order[0] else -UNSEEN_WEIGHT * 4) if i in inside else foreign for i in range(len(LANGUAGES)))
 
     def word_id(self, word: str) -> int:
         v = self.known.get(word) or self.unseen(word)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kordel.common import table
-from kordel.llm import copies, frequency, language, lookalike, residue
+from kordel.common import shared_dir, table
+from kordel.llm import copies, defects, frequency, language, lookalike, residue, splits
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +62,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b.where("not is_residue").select(F.lit("canonical").alias("src"), "rec_id", "lang"))
 
 
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its component and split, from an empty component store."""
+    shares = {r.split_name: r.target_share for r in table(spark, d, "split_shares").collect()}
+    store = splits.SplitStore(spark, f"{shared_dir(spark)}/kordel/splits-{uuid.uuid4().hex[:12]}")
+    return store.update(table(spark, d, "canonical"), "canon_id", ["intent", "input"], table(spark, d, "entities"), shares).select(F.col("id").alias("canon_id"), "component", "split")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    g = splits.groups(table(spark, d, "canonical"), "canon_id", ["intent", "input"], table(spark, d, "entities"))
+    return g.where("id != group_id").select("group_id", F.col("id").alias("canon_id"))
+
+
+def p7_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs with their texts. Inputs of problem 6 have no defect."""
+    registry = frozenset(r.op.lower() for r in table(spark, d, "op_registry").select("op").collect())
+    pairs = defects.pairs_of(table(spark, d, "canonical"), table(spark, d, "distill"))
+    flagged = defects.flag(pairs, registry, _language_model(spark, d), defects.fit_contexts(pairs, registry)).where("defect is not null")
+    return residue.split_residue(flagged, "text", pairs, "text").where("not is_residue").drop("is_residue")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_flags(spark, d).select("src", "rec_id", "defect")
+
+
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
     return residue.residue_scores(e, "text", e, "text").select("src", "lang", "id", "text", "coverage")
@@ -71,5 +96,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p6_scores, p6_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found)
 }

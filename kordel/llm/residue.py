@@ -199,7 +199,7 @@ def tokens(text: str) -> list[str]:
 _UNSEEN = regex.compile(r"[\p{Cf}]+")
 
 
-def _plain(text: str) -> str:
+def visible(text: str) -> str:
     """Without invisible characters, and widths folded, so that marks and words stand as a reader sees them."""
     if text.isascii():
         return text
@@ -286,7 +286,7 @@ def residue_scores(texts: DataFrame, col: str, corpus: DataFrame, corpus_col: st
             if t not in known:
                 if len(known) > 50_000:
                     known.clear()
-                known[t] = coverage(tokens(_plain(t)), weights, top, exemplars)
+                known[t] = coverage(tokens(visible(t)), weights, top, exemplars)
             out.append(known[t])
         return pd.Series(out, dtype="float64")
 
