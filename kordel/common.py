@@ -60,6 +60,13 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with at least one partition a core, for Python work over few, dense files. Where the scan already has as many
+    splits nothing moves; where it has fewer, the data is small by that very fact, and is dealt out once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def strip_ws(c: Column) -> Column:
     """str.strip of Python: trim() of Spark takes spaces only."""
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
