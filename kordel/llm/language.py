@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from kordel.common import blank, norm_key, strip_ws
+from kordel.common import blank, norm_key, spread
 from kordel.llm import lookalike
 
 #: The classifier is fitted on a sample of about so many labelled rows; everything else covers all rows.
@@ -300,7 +300,7 @@ def identify(rows: DataFrame, text: str, model: Model, into: str = "segments") -
             out.append([{"lang": a, "confidence": c, "start": k} for a, c, k in found])
         return pd.Series(out)
 
-    return rows.withColumn(into, run(F.col(text)))
+    return spread(rows).withColumn(into, run(F.col(text)))
 
 
 def codes_of(rows: DataFrame, text: str, model: Model, into: str) -> DataFrame:
@@ -312,7 +312,7 @@ def codes_of(rows: DataFrame, text: str, model: Model, into: str) -> DataFrame:
         find = sent.value.segments
         return pd.Series(["+".join(x[0] or "" for x in find(t)) if isinstance(t, str) else "" for t in s], dtype=object)
 
-    return rows.withColumn(into, run(F.col(text)))
+    return spread(rows).withColumn(into, run(F.col(text)))
 
 
 def label_cases(families: DataFrame, model: Model) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from kordel.common import materialize
+from kordel.common import materialize, spread
 
 # Letters of other scripts drawn like a Latin letter, as pairs "other Latin".
 CYRILLIC = "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ӏl АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW".split()
@@ -153,7 +153,7 @@ def same_form(texts: DataFrame, col: str, into: str, frequency: tuple[tuple[str,
 
 def looks(entries: DataFrame, frequency: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """entries(src, lang, id, text) -> (src, lang, id, look, code): equal look = same appearance, equal code = same text."""
-    formed = same_form(entries, "text", "form", frequency)
+    formed = same_form(spread(entries), "text", "form", frequency)
     return formed.select(
         "src", "lang", "id",
         F.unhex(F.sha2(F.concat_ws("\x01", "src", "lang", "form"), 256)).alias("look"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kordel.common import shared_dir, table
-from kordel.llm import copies, defects, frequency, language, lookalike, residue, splits
+from kordel.llm import copies, defects, frequency, language, leaks, lookalike, residue, splits
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +95,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.split_residue(_entries(spark, d), "text").where("is_residue").select("src", F.col("id").alias("rec_id"), "lang")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of 40 letters of an item, with at most one edit."""
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found, p8_leaks, p8_found)
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kordel.common import LMN, blank, materialize
+from kordel.common import blank, spread
 from kordel.llm import lookalike
 
 #: A text is residue from this share of its TF-IDF mass on; windows of this many tokens, half overlapping.
@@ -290,7 +290,7 @@ def residue_scores(texts: DataFrame, col: str, corpus: DataFrame, corpus_col: st
             out.append(known[t])
         return pd.Series(out, dtype="float64")
 
-    return texts.withColumn(into, score(F.col(col)))
+    return spread(texts).withColumn(into, score(F.col(col)))
 
 
 def entries(canonical: DataFrame, multilingual: DataFrame) -> DataFrame:
