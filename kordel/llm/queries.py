@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kordel.common import shared_dir, table
-from kordel.llm import copies, defects, frequency, language, leaks, lookalike, residue, splits
+from kordel.llm import copies, defects, frequency, language, leaks, lookalike, mixing, residue, sentences, splits
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +104,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its tokens, its rate in the mixture and its whole copies."""
+    targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, d, "mix_targets").collect()}
+    members, domains = mixing.memberships(table(spark, d, "documents"), "doc_id", "text", "source", targets)
+    return mixing.rates(members, domains, targets).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(p9_rates(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_offsets(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("start").alias("sent_start"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found, p8_leaks, p8_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found, p8_leaks, p8_found, p9_rates, p9_shares, p10_sentences, p10_found)
 }
