@@ -47,7 +47,7 @@ def _printable(s: Column) -> Column:
 
 
 def _from_dot(s: Column) -> Column:
-    return F.when(F.locate(".", s) > 0, F.regexp_extract(s, r"(?s)(\..*)$", 1)).otherwise(F.lit(""))
+    return F.regexp_extract(s, r"(?s)(\..*)$", 1)
 
 
 def extract_program(raw: Column) -> Column:
@@ -87,10 +87,15 @@ def teacher_line(raw: Column) -> Column:
     return F.when(s == "", None).when(F.startswith(s, F.lit(".")), s).otherwise(F.concat(F.lit(". "), s))
 
 
+def valid_json(s: Column) -> Column:
+    """Whether the whole text is one JSON value; wrapped, as the parser itself ignores what follows the first value."""
+    return F.try_parse_json(F.concat(F.lit('{"x":'), s, F.lit("}"))).isNotNull()
+
+
 def extract_json(text: Column) -> Column:
     """From the first `{` to the last `}`, null if that is no JSON."""
     s = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when((s != "") & F.try_parse_json(s).isNotNull(), s)
+    return F.when((s != "") & valid_json(s), s)
 
 
 def build_prompt(template: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from kordel.functions import program as A
 from kordel.functions import text as B
 from kordel.functions.scripts import route
 from kordel.operators import order as O
+from kordel.operators.registry import literal_map
 
 REASONS = ["format", "multi_line", "no_dot", "parse_error", "invalid", "too_long", "duplicate"]
 
@@ -45,7 +46,7 @@ def reason_counts(judged: DataFrame) -> DataFrame:
 def infer(df: DataFrame, text: str, templates: dict[str, str], model: Callable[[str, list[str]], list[str]]) -> DataFrame:
     """Routed batch inference: rows of a family together, prompts built, an injected model called per family and batch,
     output extracted, canonicalised and marked VALID or INVALID."""
-    fmt = F.coalesce(F.create_map(*[F.lit(x) for kv in templates.items() for x in kv])[F.col("family")], F.lit("{input}"))
+    fmt = F.coalesce(literal_map(templates)[F.col("family")], F.lit("{input}")) if templates else F.lit("{input}")
     # a salt beside the family keeps a family with most rows from being one task
     routed = df.withColumn("family", route(F.col(text))).withColumn("prompt", B.build_prompt(fmt, F.col(text)))
     routed = routed.repartition(F.col("family"), F.pmod(F.xxhash64(text), F.lit(32))).sortWithinPartitions("family")

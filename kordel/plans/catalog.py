@@ -1,2 +1,25 @@
-QUERIES = {}
-ORACLES = {}
+"""Every query of the reference's operators, with the DuckDB statement that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name; sql is omitted where SQL can't express the operator."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+from kordel.plans import corpus_queries, program_queries, text_queries  # noqa: E402, F401
