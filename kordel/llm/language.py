@@ -248,8 +248,12 @@ class Model:
             found = self.results[t] = self.decide(t)
         return found
 
-    def language(self, text: str) -> str | None:
-        return self.segments(text)[0][0]
+    def distribution(self, text: str) -> dict[str, float]:
+        """Probabilities of the languages of the text as a whole; nearly even where nothing is known of it."""
+        vs = [self.vectors[self.ids[w] if w in self.ids else self.word_id(w)] for w in words(plain(text))]
+        total = [sum(v[i] for v in vs) for i in range(len(LANGUAGES))]
+        e = [math.exp(max(-60.0, t - max(total))) for t in total]
+        return {x: y / sum(e) for x, y in zip(LANGUAGES, e, strict=True)}
 
 
 def _confidence(score: list[float]) -> float:

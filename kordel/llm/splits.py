@@ -44,10 +44,13 @@ def mentions(rows: DataFrame, id_col: str, text_cols: list[str], entities: DataF
     names = names.withColumn("n", F.size(words)).withColumn("key", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("entity")))
     longest = names.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     text = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.col(c) for c in text_cols])).alias("t")).where("t is not null")
-    toks = F.regexp_extract_all(_looks(F.col("t")), F.lit(_LATIN), 0)
-    grams = toks
-    for k in range(2, longest + 1):
-        grams = F.concat(grams, F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(toks, i, k), " ")))
+    text = text.select("id", _looks(F.col("t")).alias("look")).select("id", F.regexp_extract_all(F.col("look"), F.lit(_LATIN), 0).alias("toks"))
+    toks = F.col("toks")
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, k), " "))
+
+    grams = F.concat(toks, *[runs(k) for k in range(2, longest + 1)])
     return text.select("id", F.explode(F.array_distinct(grams)).alias("key")).join(names.select("key", "entity"), "key").select("id", "entity").distinct()
 
 
