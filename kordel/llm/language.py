@@ -58,7 +58,7 @@ _TOKEN = re.compile(rf"[㐀-鿿豈-﫿⺀-⿟々〇]+|[぀-ゟ]+|[゠-ヿㇰ-ㇿ
 _ASCII_TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _PIECED = re.compile(r"[㐀-鿿豈-﫿⺀-⿟々〇぀-ヿㇰ-ㇿก-๎]")
 _MIXES = re.compile(r"[！-ﾝﬀ-ﬆ]|[A-Za-z][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-z]")
-_INVISIBLE = regex.compile(r"[\p{Cf}͏]+")
+_INVISIBLE = re.compile("[͏" + _char_class(lambda o: unicodedata.category(chr(o)) == "Cf") + "]+")
 _SCRIPTS = [
     (regex.compile(p), frozenset(ls.split()))
     for p, ls in (
@@ -103,7 +103,7 @@ def plain(text: str) -> str:
     """Without invisible characters; folded to Latin look-alikes where some word mixes scripts or widths."""
     if text.isascii():
         return text
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
+    text = _INVISIBLE.sub("", text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
     if not _MIXES.search(text):
         return text
     foreign = not _OWN.search(text)  # every Cyrillic or Greek letter has a Latin twin

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -152,29 +152,39 @@ def same_form(texts: DataFrame, col: str, into: str, frequency: tuple[tuple[str,
 
 
 def looks(entries: DataFrame, frequency: tuple[tuple[str, int], ...] = ()) -> DataFrame:
-    """entries(src, lang, id, text) -> (src, lang, id, look, code): equal look = same appearance, equal code = same text."""
-    formed = same_form(spread(entries), "text", "form", frequency)
-    return formed.select(
-        "src", "lang", "id",
+    """entries(src, lang, id, text) with look and code: equal look = same appearance, equal code = same text."""
+    return same_form(spread(entries), "text", "form", frequency).select(
+        "src", "lang", "id", "text",
         F.unhex(F.sha2(F.concat_ws("\x01", "src", "lang", "form"), 256)).alias("look"),
         F.xxhash64("text").alias("code"),
     )
 
 
-def same_look_pairs(entries: DataFrame, frequency: tuple[tuple[str, int], ...] = (), block: int = BLOCK) -> DataFrame:
+def _shared(e: DataFrame, block: int) -> DataFrame:
+    """(look, main, blocks) of the looks that two or more different texts have; main is the code of the most frequent."""
+    variants = e.groupBy("look", "code").agg(F.count(F.lit(1)).alias("n"))
+    by_look = variants.groupBy("look").agg(F.max_by("code", F.struct("n", "code")).alias("main"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts"))
+    return by_look.where("texts > 1").select("look", F.col("main").alias("main_code"), F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+
+
+def same_look_pairs(
+    entries: DataFrame, frequency: tuple[tuple[str, int], ...] = (), block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(src, lang, id_a, id_b), id_a < id_b: all pairs that look the same and differ in some code point.
 
-    Only classes with two or more different texts go on. In each, the most frequent text is the main one; every pair has
-    a row that is not of the main text, so those few rows on the left meet all rows of the class on the right, which are
-    cut into blocks: a class of any size is spread over n / block tasks and no group of equal texts is paired with itself.
+    Only looks with two or more different texts go on; `keep` may then leave rows out by their text (so that a costly test
+    runs on those few rows instead of on all). In each class the most frequent text is the main one; every pair has a row
+    that is not of the main text, so those few rows on the left meet all rows of the class on the right, which are cut into
+    blocks: a class of any size is spread over n / block tasks and no group of equal texts is paired with itself.
     Null and blank texts are to be left out by the caller; duplicates and an empty table are fine.
     """
     e = materialize(looks(entries, frequency), "looks")
-    variants = e.groupBy("look", "code").agg(F.count(F.lit(1)).alias("n"))
-    kept = variants.groupBy("look").agg(F.max_by("code", F.struct("n", "code")).alias("main"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    if keep:
+        e = keep(e.join(_shared(e.select("look", "code"), block).select("look"), "look", "left_semi"))
+        e = materialize(e.select("src", "lang", "id", "look", "code"), "kept-looks")
     rows = materialize(
-        e.join(kept.select("look", "main", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "look"), "look-rows"
-    ).withColumn("main", F.col("code") == F.col("main"))
+        e.select("src", "lang", "id", "look", "code").join(_shared(e.select("look", "code"), block), "look").withColumn("main", F.col("code") == F.col("main_code")), "look-rows",
+    )
     left = rows.where("not main").select("look", "code", F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = rows.select("look", "src", "lang", F.col("code").alias("code2"), F.col("id").alias("y"), "main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     return left.join(right, ["look", "block"]).where("code != code2 and (main or x < y)").select(

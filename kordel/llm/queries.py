@@ -40,8 +40,9 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    e = residue.split_residue(_entries(spark, d), "text").where("not is_residue")
-    return lookalike.same_look_pairs(e, lookalike.member_frequency(_entries(spark, d), "text"))
+    e = _entries(spark, d)
+    commands = lambda rows: residue.split_residue(rows, "text", e, "text").where("not is_residue")
+    return lookalike.same_look_pairs(e, lookalike.member_frequency(e, "text"), keep=commands)
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
