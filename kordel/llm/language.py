@@ -203,7 +203,7 @@ class Model:
     def word_id(self, word: str) -> int:
         v = self.known.get(word) or self.unseen(word)
         if len(self.ids) > 400_000:
-            self._reset()
+            self.ids.clear()  # the vectors stay, few as they are: ids already taken from here still name them
         k = self.by_vector.get(v)
         if k is None:
             k = self.by_vector[v] = len(self.vectors)

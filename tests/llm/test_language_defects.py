@@ -63,3 +63,18 @@ def test_defects(spark, model):
 def test_long_copy(spark, model):
     long = "word " * 20000
     assert defects.defect(long, long.upper(), OPS, model, defects.TerminalContexts([], OPS)) == "copy"
+
+
+@pytest.mark.parametrize("text", [t for t, langs in TEXTS.items() if len(langs) > 1])
+def test_full_word_table_changes_no_result(model, text):
+    """The table of words runs full at each word of the text in turn."""
+    n = len(language.words(language.plain(text)))
+    want, mass = model.segments(text), model.distribution(text)
+    for k in range(1, n + 1):
+        model._reset()
+        model.ids.update((f"\0{i}", 0) for i in range(400_001 - k))
+        assert model.segments(text) == want
+        model._reset()
+        model.ids.update((f"\0{i}", 0) for i in range(400_001 - k))
+        assert model.distribution(text) == mass
+    model._reset()
