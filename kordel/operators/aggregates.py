@@ -103,11 +103,13 @@ def marker_sweep(df: DataFrame, leaves: Column, marker) -> DataFrame:
 
 
 def vocabulary_top_up(vocab: DataFrame, used: DataFrame, target: int) -> DataFrame:
-    """The used ids and, up to `target`, short printable tokens, then the lowest ids; new_id is dense by id."""
-    have = vocab.join(used, "id", "left_semi").withColumn("class", F.lit(0))
-    rest = vocab.join(used, "id", "left_anti").withColumn("class", F.when((F.length("token") <= 3) & F.rlike("token", F.lit(r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]*$")), 1).otherwise(2))
-    kept = have.unionByName(rest).orderBy("class", "id").limit(target)
-    return kept.withColumn("new_id", F.row_number().over(W.orderBy("id")) - 1)
+    """All used ids and, up to `target`, short printable tokens, then the lowest ids; new_id is dense by id. Used
+    ids beyond the target stay, and nothing is added to them."""
+    have = vocab.join(used, "id", "left_semi")
+    rest = vocab.join(used, "id", "left_anti").withColumn("class", F.when((F.length("token") <= 3) & F.rlike("token", F.lit(r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]*\z")), 1).otherwise(2))
+    first = rest.orderBy("class", "id").limit(target).withColumn("place", F.row_number().over(W.orderBy("class", "id")))
+    added = first.where(F.col("place") <= F.lit(target) - have.agg(F.count(F.lit(1))).scalar()).drop("class", "place")
+    return have.unionByName(added).withColumn("new_id", F.row_number().over(W.orderBy("id")) - 1)
 
 
 def word_lengths(df: DataFrame, text: str) -> DataFrame:

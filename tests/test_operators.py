@@ -100,3 +100,14 @@ def test_stream_twin(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.id: r.program for r in spark.sql("select id, program from twin").collect()} == {1: ". time.now", 2: None}
+
+
+def test_vocabulary_keeps_all_used_ids(spark):
+    tokens = ["alpha", "be", "gamma", "d", "e\n", "zeta", "eta", "θ"]
+    vocab = spark.createDataFrame([(i, t) for i, t in enumerate(tokens, 1)], "id long, token string")
+    for used in ([], [6], [1, 3, 6], [1, 3, 5, 6, 7]):
+        for target in (0, 2, 4, 100):
+            rest = sorted((i for i in range(1, 9) if i not in used), key=lambda i: (not (len(tokens[i - 1]) <= 3 and tokens[i - 1].isprintable()), i))
+            want = sorted(used + rest[: max(0, target - len(used))])
+            out = H.vocabulary_top_up(vocab, spark.createDataFrame([(i,) for i in used], "id long"), target).orderBy("id").collect()
+            assert [(r.id, r.new_id) for r in out] == [(i, k) for k, i in enumerate(want)], (used, target)
