@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kordel.common import norm_key, shared_dir, strip_ws, table
 from kordel.functions import predicates as P
 from kordel.functions import program as A
-from kordel.functions.text import category, sanitize, valid_json, word_count, words
+from kordel.functions.text import category, sanitize, word_count, words
 from kordel.operators import aggregates as H
 from kordel.operators import expand as E
 from kordel.operators import order as O
@@ -281,8 +281,7 @@ def r2_r3_valid_rows(s, d):
 
 @query("SELECT input, output AS output FROM (SELECT input, json_object('intent', json_extract_string(output, '$.intent')) AS output FROM distill WHERE json_valid(output) AND json_extract_string(output, '$.intent') IS NOT NULL AND input <> '')")
 def r4_training_rows(s, d):
-    j = table(s, d, "distill").where(valid_json(F.col("output"))).select("input", F.struct(F.get_json_object("output", "$.intent").alias("intent"), F.lit(None).cast("string").alias("params")).alias("output"))
-    return readers.training_rows(j)
+    return readers.training_rows(table(s, d, "distill"))
 
 
 @query()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kordel.common import strip_ws
 from kordel.operators.registry import DEFAULT_FAMILY
@@ -38,13 +41,25 @@ def first_filled(*columns: str):
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
+@F.udf(T.StringType(), useArrow=True)
+def _model_output(output):
+    try:
+        out = json.loads(output) if output else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(out, dict) or "intent" not in out or "params" not in out:
+        return None
+    return json.dumps({"intent": out["intent"], "params": out["params"]}, ensure_ascii=False)
+
+
 def training_rows(df: DataFrame) -> DataFrame:
-    """(input, output JSON with intent and params only) of rows with both; others are to be counted by skipped()."""
-    return df.where("input is not null and input != '' and output is not null and output.intent is not null").select("input", F.to_json(F.struct("output.intent", "output.params")).alias("output"))
+    """(input, output) of rows with both, output being the JSON text of intent and params as they stand, without other
+    keys; others are to be counted by skipped()."""
+    return df.where("input != ''").select("input", _model_output("output").alias("output")).where("output is not null")
 
 
 def skipped(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(F.expr("input is null or input = '' or output is null or output.intent is null")).alias("skipped"))
+    return df.select(F.coalesce(F.col("input") != "", F.lit(False)).alias("ok"), _model_output("output").alias("o")).agg(F.count_if(~F.col("ok") | F.col("o").isNull()).alias("skipped"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -111,3 +111,12 @@ def test_vocabulary_keeps_all_used_ids(spark):
             want = sorted(used + rest[: max(0, target - len(used))])
             out = H.vocabulary_top_up(vocab, spark.createDataFrame([(i,) for i in used], "id long"), target).orderBy("id").collect()
             assert [(r.id, r.new_id) for r in out] == [(i, k) for k, i in enumerate(want)], (used, target)
+
+
+def test_training_rows_keep_params(spark):
+    whole = ['{"intent": "a.b", "params": {"to": "Bob", "n": 75, "deep": {"z": [1, null], "a": 1.50}}, "missing": []}', '{"params": {}, "intent": null}', '{"intent": "a.b", "params": {"text": "a \\"b\\" \\n \\/ é 鍵 \\ud83d\\ude00"}}']
+    none = ['{"intent": "a.b"}', '{"params": {}}', "[1]", '"x"', "null", '{"intent": "a', ". a.b", "", None]
+    df = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(whole + none)] + [("", whole[0]), (None, whole[0])], "input string, output string")
+    want = {f"i{i}": json.dumps({k: json.loads(t)[k] for k in ("intent", "params")}, ensure_ascii=False) for i, t in enumerate(whole)}
+    assert {r.input: r.output for r in _query(spark, "r4_training_rows", distill=df).collect()} == want
+    assert readers.skipped(df).first().skipped == len(none) + 2
