@@ -21,6 +21,11 @@ def parsed(df: DataFrame, intent: str) -> DataFrame:
     return df.withColumn("parsed", A.parse(sanitize(F.col(intent)))).withColumn("canonical", A.canonicalize(F.col("parsed")))
 
 
+def valid_rows(df: DataFrame, intent: str) -> DataFrame:
+    """Df with column canonical, for rows whose program can be read and resolved and whose canonical form can be read again."""
+    return parsed(df, intent).drop("parsed").where("canonical is not null").where(A.parse(F.col("canonical"))["error"].isNull())
+
+
 def _verdict(intent: str, text: str | None, fields: list[str]) -> Column:
     missing = [F.when(F.col(f).isNull(), F.lit(f"missing_{f}")) for f in fields]
     marker = F.when(P.has_marker(F.col(text)), "fake_marker") if text else F.lit(None).cast("string")

@@ -276,7 +276,8 @@ def w2_by_family(s, d):
 
 @query("SELECT fam_id, intent, input FROM families WHERE input IS NOT NULL AND input <> '' AND intent IS NOT NULL AND intent <> ''")
 def r2_r3_valid_rows(s, d):
-    return table(s, d, "families").select("fam_id", readers.first_filled("intent").alias("intent"), readers.first_filled("input").alias("input")).where("intent is not null and input is not null")
+    rows = table(s, d, "families").select("fam_id", F.coalesce("input", F.lit("")).alias("input"), readers.first_filled("intent").alias("intent")).where("intent is not null")
+    return V.valid_rows(rows, "intent").select("fam_id", "input", F.col("canonical").alias("program"))
 
 
 @query("SELECT input, output AS output FROM (SELECT input, json_object('intent', json_extract_string(output, '$.intent')) AS output FROM distill WHERE json_valid(output) AND json_extract_string(output, '$.intent') IS NOT NULL AND input <> '')")

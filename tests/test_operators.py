@@ -10,10 +10,21 @@ from kordel.operators import aggregates as H
 from kordel.operators import expand as E
 from kordel.operators import order as O
 from kordel.operators import validate as V
+from kordel.plans import catalog
 from kordel.plans.stubs import echo_model
 from kordel.sources import readers, sinks
 
 
+def _query(spark, name, **tables):
+    """The registered query over tables of the test's own."""
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    for t, df in tables.items():
+        df.write.parquet(f"{d}/{t}.parquet")
+    return catalog.QUERIES[name](spark, d)
+
+
 def _rows(spark):
     return spark.createDataFrame([(3, "A", "x"), (1, " a ", "y"), (2, "b", "x"), (5, None, "x"), (6, None, "z"), (4, "a", "y")], "id long, t string, v string")
 
@@ -120,3 +131,10 @@ def test_training_rows_keep_params(spark):
     want = {f"i{i}": json.dumps({k: json.loads(t)[k] for k in ("intent", "params")}, ensure_ascii=False) for i, t in enumerate(whole)}
     assert {r.input: r.output for r in _query(spark, "r4_training_rows", distill=df).collect()} == want
     assert readers.skipped(df).first().skipped == len(none) + 2
+
+
+def test_valid_rows_are_canonical(spark):
+    rows = {1: (". now", "x"), 2: ('. a.b :z=1 :a="2"', ""), 3: ('. a.b :k="open', "x"), 4: (". nope", "x"), 5: ("the time please", "x"), 6: ("", "x"), 7: (None, "x"), 8: (". now ; time.now ; a.b", None), 9: (". a.b :k=", "x")}
+    df = spark.createDataFrame([(i, a, b, "english", "english") for i, (a, b) in rows.items()], "fam_id long, intent string, input string, language string, family string")
+    got = {r.fam_id: (r.input, r.program) for r in _query(spark, "r2_r3_valid_rows", families=df).collect()}
+    assert got == {1: ("x", ". time.now"), 2: ("", '. a.b :a="2" :z="1"'), 8: ("", ". time.now ; a.b")}
