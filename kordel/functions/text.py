@@ -118,8 +118,8 @@ def numbers(s: Column) -> Column:
 
 
 def params_json(params: Column) -> Column:
-    """JSON text of a map with its keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+    """JSON text of a map with its keys in order; a null value is a null of JSON."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))), {"ignoreNullFields": "false"})
 
 
 def category(intent: Column) -> Column:

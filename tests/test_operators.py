@@ -138,3 +138,12 @@ def test_valid_rows_are_canonical(spark):
     df = spark.createDataFrame([(i, a, b, "english", "english") for i, (a, b) in rows.items()], "fam_id long, intent string, input string, language string, family string")
     got = {r.fam_id: (r.input, r.program) for r in _query(spark, "r2_r3_valid_rows", families=df).collect()}
     assert got == {1: ("x", ". time.now"), 2: ("", '. a.b :a="2" :z="1"'), 8: ("", ". time.now ; a.b")}
+
+
+def test_params_json_of_all_rows(spark):
+    odd = "".join(map(chr, range(1, 0xA0))) + "\u2028é鍵😀\ufeff"
+    rows = {1: {"b": None, "a": "x"}, 2: {"é": "a/b", "z": "a\nb\tc", "Z": '"\\"'}, 3: {"k": odd}, 4: {}, 5: {"only": None}, 6: {"😀": "1", "\uffee": "2", 'q"\n': "3"}}
+    df = spark.createDataFrame([*rows.items(), (7, None)], "ml_id long, inputs map<string,string>")
+    got = {r.ml_id: r.params for r in _query(spark, "b14_params_json", multilingual_intents=df).collect()}
+    same = lambda t: json.dumps(json.loads(t), ensure_ascii=False)  # noqa: E731  the order of the keys stays, hex digits of escapes become small
+    assert {i: same(t) for i, t in got.items()} == {i: json.dumps(m, sort_keys=True, ensure_ascii=False) for i, m in rows.items()}
