@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kordel.functions import predicates as P
 from kordel.functions import program as A
 from kordel.functions import text as B
 from kordel.functions.scripts import route
@@ -33,6 +34,14 @@ def judge(df: DataFrame, raw: str, order: list[str], dedup: bool = True) -> Data
     return checked.drop("__line", "__early", "__p")
 
 
+def clean_teacher_output(df: DataFrame, raw: str, into: str = "clean") -> DataFrame:
+    """Adds the teacher's line; null where it repeats characters or words, is too long or all digits, or is no program."""
+    line = df.withColumn(into, B.teacher_line(F.col(raw)))
+    s = F.col(into)
+    bad = P.repeated_chars(s) | P.repeated_tokens(s) | P.too_long(s) | P.pure_digits(s) | A.parse(s)["error"].isNotNull()
+    return line.withColumn(into, F.when(~bad, s))
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     """F15."""
     return judged.where("reason is null")

@@ -8,6 +8,7 @@ from kordel.common import norm_key, table
 from kordel.functions import predicates as P
 from kordel.functions import scripts as C
 from kordel.functions import text as B
+from kordel.operators import accept as R
 from kordel.operators.registry import family_of
 from kordel.plans import sqltext as S
 from kordel.plans.catalog import query
@@ -89,6 +90,11 @@ def b8_teacher_line(s, d):
     return table(s, d, "distill").select("distill_id", B.teacher_line(F.col("output")).alias("line"))
 
 
+@query()
+def b8_clean_teacher_output(s, d):
+    return R.clean_teacher_output(table(s, d, "distill").select("distill_id", "output"), "output").select("distill_id", "clean")
+
+
 @query("SELECT distill_id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS json FROM (SELECT distill_id, regexp_extract(output, '(?s)(\\{.*\\})', 1) AS j FROM distill)")
 def b9_extract_json(s, d):
     return table(s, d, "distill").select("distill_id", B.extract_json(F.col("output")).alias("json"))

@@ -147,3 +147,11 @@ def test_params_json_of_all_rows(spark):
     got = {r.ml_id: r.params for r in _query(spark, "b14_params_json", multilingual_intents=df).collect()}
     same = lambda t: json.dumps(json.loads(t), ensure_ascii=False)  # noqa: E731  the order of the keys stays, hex digits of escapes become small
     assert {i: same(t) for i, t in got.items()} == {i: json.dumps(m, sort_keys=True, ensure_ascii=False) for i, m in rows.items()}
+
+
+def test_teacher_output_is_rejected(spark):
+    kept = {"OUTPUT: time.now\nmore": ". time.now", "<OUTPUT> . a.b :k=\"x y\" ; c.d</s>": '. a.b :k="x y" ; c.d', ". now<END>": ". now", ". a.b " + " ; ".join(f"c{i}" for i in range(2)): None, ". " + " ; ".join(["a.b"] * 10): ". " + " ; ".join(["a.b"] * 10)}
+    gone = ["", None, "<END>", "OUTPUT:", ". aaaa.b", '. a.b :k="go go go go"', ". " + " ; ".join(["a.b"] * 11), ". 12 : 3", "42", "I cannot do that", '. a.b :k="open', '{"intent": "a.b"}', ". a.b :k="]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*kept, *gone])], "distill_id long, output string")
+    got = {r.distill_id: r.clean for r in _query(spark, "b8_clean_teacher_output", distill=df).collect()}
+    assert [got[i] for i in range(len(got))] == [*kept.values(), *[None] * len(gone)]
