@@ -212,28 +212,34 @@ class Model:
         return k
 
     def decide(self, key: tuple[int, ...]) -> tuple:
-        """((language, confidence, first word), ...): one segment, or the best two where they win clearly."""
+        """((language, confidence, first word), ...) of the segments that together win most, each change of language being
+        charged SEGMENT_GAIN: so a segment wins within itself by more than that over its neighbours' languages. Among equals
+        the fewest segments, then the earliest change."""
         vs = [self.vectors[k] for k in key]
-        n, m = len(vs), len(LANGUAGES)
+        m = len(LANGUAGES)
         total = [sum(v[i] for v in vs) for i in range(m)]
         best = max(range(m), key=lambda i: (total[i], -i))
         if not any(any(v) for v in vs):
             return ((None, 0.0, 0),)
-        single = total[best]
-        pre = [0.0] * m
-        top = (single + SEGMENT_GAIN, None)
-        for k in range(1, n):
-            v = vs[k - 1]
-            pre = [a + b for a, b in zip(pre, v, strict=True)]
-            post = [t - a for t, a in zip(total, pre, strict=True)]
-            i = max(range(m), key=pre.__getitem__)
-            j = max(range(m), key=post.__getitem__)
-            if i != j and pre[i] + post[j] > top[0] and pre[i] - pre[j] > SEGMENT_GAIN and post[j] - post[i] > SEGMENT_GAIN:
-                top = (pre[i] + post[j], (k, i, j, list(pre), post))
-        if top[1] is None:
+        if sum(map(max, vs)) <= total[best] + SEGMENT_GAIN:  # no change can pay
             return ((LANGUAGES[best], _confidence(total), 0),)
-        k, i, j, pre, post = top[1]
-        return ((LANGUAGES[i], _confidence(pre), 0), (LANGUAGES[j], _confidence(post), k))
+        # from the last word back: what the words from here on give if this one is of language i, and minus their changes
+        score, changes = list(vs[-1]), [0] * m
+        then: list[tuple[int, list[bool]]] = []
+        for v in reversed(vs[:-1]):
+            to = max(range(m), key=lambda i: (score[i], changes[i], -i))
+            gain, n = score[to] - SEGMENT_GAIN, changes[to] - 1
+            turn = [gain > score[i] or gain == score[i] and n >= changes[i] for i in range(m)]
+            then.append((to, turn))
+            score = [v[i] + (gain if turn[i] else score[i]) for i in range(m)]
+            changes = [n if turn[i] else changes[i] for i in range(m)]
+        i, first, out = max(range(m), key=lambda i: (score[i], changes[i], -i)), 0, []
+        for k, (to, turn) in enumerate(reversed(then), 1):
+            if turn[i]:
+                out.append((i, first, k))
+                i, first = to, k
+        out.append((i, first, len(vs)))
+        return tuple((LANGUAGES[i], _confidence([sum(v[x] for v in vs[a:b]) for x in range(m)]), a) for i, a, b in out)
 
     def segments(self, text: str) -> tuple:
         key = []
@@ -284,7 +290,7 @@ SEGMENT = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Str
 
 
 def identify(rows: DataFrame, text: str, model: Model, into: str = "segments") -> DataFrame:
-    """Adds an array of (lang, confidence, start): one element, or two where the text mixes two languages. start is the
+    """Adds an array of (lang, confidence, start): one element, or one a segment where the text mixes languages. start is the
     code point offset in the text without invisible characters. Null or blank text, and text without letters, has one
     element with a null language and confidence 0."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -298,9 +304,9 @@ def identify(rows: DataFrame, text: str, model: Model, into: str = "segments") -
                 out.append([(None, 0.0, 0)])
                 continue
             found = m.segments(t)
-            if len(found) == 2:
-                at = starts(plain(t))[found[1][2]]
-                found = (found[0], (*found[1][:2], at))
+            if len(found) > 1:
+                at = starts(plain(t))
+                found = (found[0], *((a, c, at[k]) for a, c, k in found[1:]))
             out.append([{"lang": a, "confidence": c, "start": k} for a, c, k in found])
         return pd.Series(out)
 
@@ -308,13 +314,14 @@ def identify(rows: DataFrame, text: str, model: Model, into: str = "segments") -
 
 
 def codes_of(rows: DataFrame, text: str, model: Model, into: str) -> DataFrame:
-    """The compact form: `a` or `a+b`, empty where no language shows. One string a row, so little passes from Python."""
+    """The compact form: `a` or `a+b+...`, each language once, empty where none shows. One string a row, so little passes
+    from Python."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         find = sent.value.segments
-        return pd.Series(["+".join(x[0] or "" for x in find(t)) if isinstance(t, str) else "" for t in s], dtype=object)
+        return pd.Series(["+".join(dict.fromkeys(x[0] or "" for x in find(t))) if isinstance(t, str) else "" for t in s], dtype=object)
 
     return spread(rows).withColumn(into, run(F.col(text)))
 

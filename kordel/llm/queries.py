@@ -50,9 +50,11 @@ def _language_model(spark: SparkSession, d: str) -> language.Model:
 
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment of families with its language and confidence."""
-    rows = language.identify(table(spark, d, "families").select("fam_id", "input"), "input", _language_model(spark, d))
-    return rows.select("fam_id", F.posexplode("segments").alias("segment", "s")).select("fam_id", "segment", "s.lang", "s.confidence", "s.start")
+    """Every segment of families and canonical with its language and confidence."""
+    families = table(spark, d, "families").select(F.lit("families").alias("src"), F.col("fam_id").alias("rec_id"), "input")
+    canonical = table(spark, d, "canonical").select(F.lit("canonical").alias("src"), F.col("canon_id").alias("rec_id"), "input")
+    rows = language.identify(families.unionByName(canonical), "input", _language_model(spark, d))
+    return rows.select("src", "rec_id", F.posexplode("segments").alias("segment", "s")).select("src", "rec_id", "segment", "s.lang", "s.confidence", "s.start")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

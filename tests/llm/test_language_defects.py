@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kordel.common import table
 from kordel.llm import defects, language
+from kordel.llm import queries as llm_queries
 
 DIR = "/root/testdata/sf0.01"
 OPS = frozenset("message.send payment.send memory.store call.start time.now timer.set".split())
@@ -78,3 +79,44 @@ def test_full_word_table_changes_no_result(model, text):
         model.ids.update((f"\0{i}", 0) for i in range(400_001 - k))
         assert model.distribution(text) == mass
     model._reset()
+
+
+MANY = [
+    ("paga 600 euros a Rinunatu por favor. ", "envoie un message à Giromofi : la réunion est reportée à jeudi. ", "paga 600 euros a Rinunatu"),
+    ("call me an hour after the meeting please. ", "اتصل برقم Zavamefu من فضلك. ", "разбуди Мемитаке завтра в 12:15"),
+]
+
+
+@pytest.mark.parametrize("parts,langs", list(zip(MANY, (["spanish", "french", "spanish"], ["english", "arabic", "russian"]), strict=True)))
+def test_any_number_of_segments(spark, model, parts, langs):
+    df = spark.createDataFrame([("".join(parts),)], "t string")
+    got = language.identify(df, "t", model).first().segments
+    assert [x.lang for x in got] == langs and all(x.confidence > 0.9 for x in got)
+    assert [x.start for x in got] == [0, len(parts[0]), len(parts[0]) + len(parts[1])]
+
+
+def test_segments_against_brute_force(model):
+    """All ways to cut a few words into segments, each change charged."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    m = len(language.LANGUAGES)
+    for _ in range(60):
+        rows = [tuple(r.choice((0.0, 0.0, -1.0, -2.0, -8.0)) if i < 3 else -9.0 for i in range(m)) for _ in range(r.randint(1, 7))]
+        if not any(any(v) for v in rows):
+            continue
+        one = language.Model.__new__(language.Model)
+        one.vectors = rows
+        best = max(sum(v[i] for v, i in zip(rows, way, strict=True)) - language.SEGMENT_GAIN * sum(a != b for a, b in itertools.pairwise(way)) for way in itertools.product(range(3), repeat=len(rows)))
+        found = one.decide(tuple(range(len(rows))))
+        edges = [x[2] for x in found] + [len(rows)]
+        mine = sum(rows[k][language.LANGUAGES.index(x[0])] for x, a, b in zip(found, edges, edges[1:], strict=False) for k in range(a, b)) - language.SEGMENT_GAIN * (len(found) - 1)
+        assert abs(mine - best) < 1e-9 and all(a[0] != b[0] for a, b in itertools.pairwise(found))
+
+
+def test_segments_of_both_tables(spark):
+    got = llm_queries.p4_segments(spark, "/root/testdata/sf0.001")
+    rows = {t: table(spark, "/root/testdata/sf0.001", t).count() for t in ("families", "canonical")}
+    assert {r.src: r.n for r in got.groupBy("src").agg(F.countDistinct("rec_id").alias("n")).collect()} == rows
+    assert got.where("lang is not null and not confidence > 0").count() == 0
