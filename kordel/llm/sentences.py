@@ -1,9 +1,10 @@
 """Problem 10: sentences of documents in many languages and scripts.
 
 A document falls into paragraphs at empty lines, and paragraphs into blocks before list items, dialogue lines and program
-lines. In text with spaces every terminator is a node of a small lattice: quotations and brackets around it, the word
-before it, what follows it decide whether the sentence ends there. Scripts without spaces are cut into words along the
-cheapest path of a dictionary lattice; their gaps are then judged by final particles before and opening words behind.
+lines. In text with spaces every terminator is judged by itself: quotations and brackets around it, the word before it,
+what follows it decide whether the sentence ends there. Every gap between two Thai runs ends a sentence; before other text
+the last word of up to 40 characters, along the cheapest path of a dictionary lattice, must be a polite particle. Chinese
+and Japanese are cut at terminators only.
 """
 
 from __future__ import annotations
@@ -264,7 +265,7 @@ _LATIN_STRETCH = re.compile(r"(?:[A-Za-z][\w.'’-]*[,;]?\s+){3}[A-Za-z]")
 
 
 def _thai(s: str) -> list[int]:
-    """Gaps of Thai text that end a sentence: between Thai words, unless a final particle or an opening word says more."""
+    """Gaps of Thai text that end a sentence: all between Thai words; before other text, those behind a polite particle."""
     inside = _enclosures(s)
     out = []
     for m in _THAI_GAP.finditer(s):
