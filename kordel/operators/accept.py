@@ -30,7 +30,7 @@ def judge(df: DataFrame, raw: str, order: list[str], dedup: bool = True) -> Data
     )
     checked = p.withColumn("reason", reason).withColumn("hash", F.when(F.col("program").isNotNull(), A.program_hash(ast)))
     if dedup:
-        checked = O.label_later(checked, F.col("hash"), order, F.col("reason").isNull()).withColumn("reason", F.when(F.col("is_later"), "duplicate").otherwise(F.col("reason"))).drop("is_later")
+        checked = O.label_later(checked, F.col("hash"), order, F.col("reason").isNull(), settle=True).withColumn("reason", F.when(F.col("is_later"), "duplicate").otherwise(F.col("reason"))).drop("is_later")
     return checked.drop("__line", "__early", "__p")
 
 

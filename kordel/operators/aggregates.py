@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from kordel.functions.text import word_count, words
+from kordel.functions.text import words
+from kordel.operators.order import numbered
 
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
@@ -109,8 +110,5 @@ def vocabulary_top_up(vocab: DataFrame, used: DataFrame, target: int) -> DataFra
     rest = vocab.join(used, "id", "left_anti").withColumn("class", F.when((F.length("token") <= 3) & F.rlike("token", F.lit(r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]*\z")), 1).otherwise(2))
     first = rest.orderBy("class", "id").limit(target).withColumn("place", F.row_number().over(W.orderBy("class", "id")))
     added = first.where(F.col("place") <= F.lit(target) - have.agg(F.count(F.lit(1))).scalar()).drop("class", "place")
-    return have.unionByName(added).withColumn("new_id", F.row_number().over(W.orderBy("id")) - 1)
+    return numbered(have.unionByName(added), "id", "new_id").withColumn("new_id", F.col("new_id") - 1)
 
-
-def word_lengths(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("words", word_count(F.col(text)))

@@ -66,7 +66,7 @@ def multilingual_findings(df: DataFrame, key: str) -> DataFrame:
 def family_findings(df: DataFrame, key: str) -> DataFrame:
     """V4, V5: all families in one scan; conflicts of intent for one input within a family, among rows that pass."""
     v = parsed(df, "intent").withColumn("verdict", _verdict("intent", "input", ["intent", "input", "language", "family"]))
-    c = O.conflicts(v.where("verdict is null").select(key, "family", "input", "intent"), F.struct("family", norm_key(F.col("input"))), "intent", [key])
+    c = O.conflicts(v.where("verdict is null").select(key, "family", "input", "intent"), [F.col("family"), norm_key(F.col("input"))], "intent", [key])
     clash = c.where("is_conflict").select(F.lit("family").alias("check"), F.lit("error").alias("severity"), F.col(key).alias("id"), F.lit("conflict").alias("message"))
     return _errors(v, "family", key).unionByName(clash)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from kordel.common import norm_key, shared_dir, strip_ws, table
+from kordel.common import norm_key, scratch, strip_ws, table
 from kordel.functions import predicates as P
 from kordel.functions import program as A
 from kordel.functions.text import category, sanitize, word_count, words
@@ -25,20 +23,20 @@ _FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {S.key('tex
 @query(f"SELECT coalesce(lang, '?') AS lang, count(*) AS kept, sum(({S.digit_spam('text')})::INT) AS digit_spam, sum((len({S.words('text')}) > 20)::INT) AS long FROM {_FIRST} GROUP BY 1")
 def flagship_clean_by_language(s, d):
     """Documents: key, first of each key, quality reasons, counts by language: one scan, two shuffles."""
-    first = O.first_wins(table(s, d, "documents").where("text is not null").select("doc_id", "lang", "text"), [norm_key(F.col("text"))], ["doc_id"])
+    first = O.first_wins(table(s, d, "documents").where("text is not null").select("doc_id", "lang", "text"), [norm_key(F.col("text"))], ["doc_id"], unique=True)
     t = F.col("text")
     return first.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.count(F.lit(1)).alias("kept"), F.sum(P.digit_spam(t).cast("int")).alias("digit_spam"), F.sum(P.too_long(t).cast("int")).alias("long"))
 
 
 @query(f"SELECT canon_id FROM (SELECT canon_id, row_number() OVER (PARTITION BY intent, {S.key('input')} ORDER BY canon_id) AS rn FROM canonical) WHERE rn = 1")
 def g1_first_wins(s, d):
-    return O.first_wins(table(s, d, "canonical").select("canon_id", "intent", "input"), [F.col("intent"), norm_key(F.col("input"))], ["canon_id"]).select("canon_id")
+    return O.first_ids(table(s, d, "canonical"), [F.col("intent"), norm_key(F.col("input"))], "canon_id")
 
 
 @query("SELECT canon_id FROM (SELECT canon_id, row_number() OVER (PARTITION BY input || '|' || intent ORDER BY canon_id) AS rn FROM canonical WHERE input IS NOT NULL AND intent IS NOT NULL) WHERE rn = 1")
 def g2_first_wins_exact(s, d):
-    rows = table(s, d, "canonical").where("input is not null and intent is not null").select("canon_id", "intent", "input")
-    return O.first_wins(rows, [F.concat_ws("|", "input", "intent")], ["canon_id"]).select("canon_id")
+    rows = table(s, d, "canonical").where("input is not null and intent is not null")
+    return O.first_ids(rows, [F.concat_ws("|", "input", "intent")], "canon_id")
 
 
 @query(f"SELECT canon_id, row_number() OVER (PARTITION BY {S.key('input')} ORDER BY canon_id) > 1 AS is_later FROM canonical WHERE input IS NOT NULL")
@@ -50,7 +48,7 @@ def g3_label_later(s, d):
 @query(f"SELECT canon_id, intent <> first_value(intent) OVER (PARTITION BY {S.key('input')} ORDER BY canon_id) AS is_conflict FROM canonical WHERE input IS NOT NULL AND intent IS NOT NULL")
 def g4_conflicts(s, d):
     rows = table(s, d, "canonical").where("input is not null and intent is not null").select("canon_id", "input", "intent")
-    return O.conflicts(rows, norm_key(F.col("input")), "intent", ["canon_id"]).select("canon_id", "is_conflict")
+    return O.conflicts(rows, [norm_key(F.col("input"))], "intent", ["canon_id"]).select("canon_id", "is_conflict")
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3")
@@ -58,10 +56,10 @@ def g6_first_k(s, d):
     return O.first_k(table(s, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 3)
 
 
-@query(f"WITH r AS (SELECT doc_id, sum(({S.digit_spam('text')} IS NOT TRUE)::INT) OVER (ORDER BY doc_id) - ({S.digit_spam('text')} IS NOT TRUE)::INT AS before FROM documents) SELECT doc_id FROM r WHERE before < 500 AND doc_id < 100000000")
+@query(f"WITH r AS (SELECT doc_id, sum(({S.digit_spam('text')} IS NOT TRUE)::INT) OVER (ORDER BY doc_id) - ({S.digit_spam('text')} IS NOT TRUE)::INT AS before, row_number() OVER (ORDER BY doc_id) AS tried FROM documents) SELECT doc_id FROM r WHERE before < 500 AND tried <= 100000")
 def g5_g7_stop_at_n(s, d):
     rows = table(s, d, "documents").select("doc_id", P.digit_spam(F.col("text")).alias("spam"))
-    return O.stop_at(rows, ~F.coalesce("spam", F.lit(False)), "doc_id", 500, 100_000_000).select("doc_id")
+    return O.stop_at(rows, ~F.coalesce("spam", F.lit(False)), "doc_id", O.target_count(500)).select("doc_id")
 
 
 _TOKENS = f"(SELECT unnest({S.words('intent')}) AS token FROM canonical)"
@@ -170,12 +168,11 @@ def h18_marker_sweep(s, d):
 
 @query(f"""WITH v AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM documents), n AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM v),
 u AS (SELECT DISTINCT unnest({S.words('input')}) AS token FROM canonical),
-c AS (SELECT n.id, n.token, CASE WHEN n.token IN (SELECT token FROM u) THEN 0 WHEN length(n.token) <= 3 AND regexp_matches(n.token, '^[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}} ]*$') THEN 1 ELSE 2 END AS class FROM n)
-SELECT id, token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT * FROM c ORDER BY class, id LIMIT 3000)""")
+c AS (SELECT n.id, n.token, CASE WHEN n.token IN (SELECT token FROM u) THEN 0 WHEN length(n.token) <= 3 AND regexp_matches(n.token, '^[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}} ]*$') THEN 1 ELSE 2 END AS class FROM n),
+k AS (SELECT *, row_number() OVER (ORDER BY class, id) AS place FROM c)
+SELECT id, token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM k WHERE class = 0 OR place <= 3000""")
 def t5_u4_u5_j7_vocabulary(s, d):
-    from pyspark.sql import Window as W
-
-    vocab = H.distinct_ids(table(s, d, "documents"), words(F.col("text"))).select(F.col("id").alias("token"), F.row_number().over(W.orderBy("id")).cast("bigint").alias("id"))
+    vocab = O.numbered(H.distinct_ids(table(s, d, "documents"), words(F.col("text"))).withColumnRenamed("id", "token"), "token", "id")
     used = vocab.join(H.distinct_ids(table(s, d, "canonical"), words(F.col("input"))).withColumnRenamed("id", "token"), "token", "left_semi").select("id")
     return H.vocabulary_top_up(vocab, used, 3000).select("id", "token", "new_id")
 
@@ -262,25 +259,25 @@ def w3_j6_only_new(s, d):
 
 @query("SELECT canon_id FROM canonical WHERE input IS NOT NULL AND intent IS NOT NULL")
 def r1_w1_jsonl_round_trip(s, d):
-    at = f"{shared_dir(s)}/kordel/jsonl-{uuid.uuid4().hex[:12]}"
+    at = scratch(s, "jsonl")
     sinks.write_jsonl(table(s, d, "canonical").where("input is not null and intent is not null").select("canon_id", "intent", "input"), at)
     return readers.jsonl(s, at, "canon_id bigint, intent string, input string", bad="skip").select("canon_id")
 
 
 @query("SELECT family, count(*) AS n FROM families WHERE family IN ('english','cjk','arabic','indic','cyrillic','greek','hebrew','southeast_asian','ethiopic') GROUP BY family")
 def w2_by_family(s, d):
-    at = f"{shared_dir(s)}/kordel/families-{uuid.uuid4().hex[:12]}"
+    at = scratch(s, "families")
     sinks.write_by_family(table(s, d, "families").where(F.col("family").isin(D.FAMILIES)).select("fam_id", "intent", "input", "family"), at)
     return s.read.schema("fam_id bigint, intent string, input string, family string").json(at).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT fam_id, intent, input FROM families WHERE input IS NOT NULL AND input <> '' AND intent IS NOT NULL AND intent <> ''")
+@query()
 def r2_r3_valid_rows(s, d):
     rows = table(s, d, "families").select("fam_id", F.coalesce("input", F.lit("")).alias("input"), readers.first_filled("intent").alias("intent")).where("intent is not null")
     return V.valid_rows(rows, "intent").select("fam_id", "input", F.col("canonical").alias("program"))
 
 
-@query("SELECT input, output AS output FROM (SELECT input, json_object('intent', json_extract_string(output, '$.intent')) AS output FROM distill WHERE json_valid(output) AND json_extract_string(output, '$.intent') IS NOT NULL AND input <> '')")
+@query()
 def r4_training_rows(s, d):
     return readers.training_rows(table(s, d, "distill"))
 

@@ -187,10 +187,10 @@ def h19_fixed_and_rejected(s, d):
 
 @query()
 def g5_stop_at(s, d):
-    from kordel.operators.order import stop_at
+    from kordel.operators.order import stop_at, target_count
 
     j = _judged(s, d)
-    return stop_at(j, F.col("reason").isNull(), "distill_id", 500).select("distill_id", "reason")
+    return stop_at(j, F.col("reason").isNull(), "distill_id", target_count(500)).select("distill_id", "reason")
 
 
 @query()

@@ -120,7 +120,7 @@ def b13_numbers(s, d):
     return table(s, d, "canonical").where("input is not null").select("canon_id", F.array_join(F.array_sort(B.numbers(F.col("input"))), ",").alias("numbers"))
 
 
-@query("SELECT ml_id, '{' || array_to_string(list_transform(list_sort(map_keys(inputs)), lambda k: '\"' || k || '\":' || to_json(inputs[k])), ',') || '}' AS params FROM multilingual_intents WHERE inputs IS NOT NULL AND len(list_filter(map_values(inputs), lambda v: v IS NULL)) = 0 AND len(list_filter(map_values(inputs), lambda v: regexp_matches(v, '[\\x00-\\x1f\\x{7f}-\\x{9f}/]'))) = 0")
+@query()
 def b14_params_json(s, d):
     return table(s, d, "multilingual_intents").where("inputs is not null").select("ml_id", B.params_json(F.col("inputs")).alias("params"))
 

@@ -35,7 +35,7 @@ def test_first_wins_and_labels(spark):
     assert O.first_wins(df.limit(0), [F.col("t")], ["id"]).count() == 0
     later = {r.id: r.is_later for r in O.label_later(df, norm_key(F.col("t")), ["id"], F.col("id") != 1).collect()}
     assert later == {1: False, 2: False, 3: False, 4: True, 5: False, 6: False}
-    assert {r.id for r in O.conflicts(df.where("t is not null"), norm_key(F.col("t")), "v", ["id"]).where("is_conflict").collect()} == {3}
+    assert {r.id for r in O.conflicts(df.where("t is not null"), [norm_key(F.col("t"))], "v", ["id"]).where("is_conflict").collect()} == {3}
 
 
 def test_stop_at_matches_a_loop(spark):
@@ -47,7 +47,59 @@ def test_stop_at_matches_a_loop(spark):
             break
         kept.append(i)
         n += ok
-    assert sorted(r.id for r in O.stop_at(df, F.col("ok"), "id", 10, 1000).collect()) == kept
+    assert sorted(r.id for r in O.stop_at(df, F.col("ok"), "id", 10).collect()) == kept
+
+
+def test_stop_at_counts_attempts(spark):
+    """The order column's values play no part, only how many rows were tried."""
+    df = spark.createDataFrame([(10_000_000 + 7 * i, i % 2 == 0) for i in range(40)], "id long, ok boolean").repartition(5)
+    kept = lambda **k: sorted((r.id - 10_000_000) // 7 for r in O.stop_at(df, F.col("ok"), "id", **k).collect())
+    assert kept(n=3) == [0, 1, 2, 3, 4]
+    assert kept(n=3, attempts=4) == [0, 1, 2, 3] and kept(n=100, attempts=7) == list(range(7)) and kept(n=0) == []
+    assert kept(n=1000) == list(range(40)) and O.attempt_limit(3) == 5003 and O.attempt_limit(100) == 20000
+    assert [O.target_count(n) for n in (1, 100, 500, 5000)] == [100, 100, 500, 1000]
+    assert O.stop_at(df.limit(0), F.col("ok"), "id", 3).count() == 0
+
+
+def test_first_wins_by_digest(spark):
+    df = _rows(spark)
+    assert sorted((r.id, r.t, r.v) for r in O.first_wins(df, [norm_key(F.col("t")), F.col("v")], ["id"], unique=True).collect() if r.t) == [(1, " a ", "y"), (2, "b", "x"), (3, "A", "x")]
+    assert sorted(r.id for r in O.first_ids(df, [F.col("t")], "id").collect()) == [1, 2, 3, 4, 5]
+    pairs = spark.createDataFrame([(1, "a", "bc"), (2, "ab", "c"), (3, None, "abc"), (4, "", "abc"), (5, "a", "bc")], "id long, x string, y string")
+    assert sorted(r.id for r in O.first_ids(pairs, [F.col("x"), F.col("y")], "id").collect()) == [1, 2, 3, 4]
+
+
+def test_bounded_sample(spark):
+    """Neither a tiny share nor one text in half the rows empties the sample or makes it explode."""
+    from kordel.common import bounded_sample
+
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("t"))
+    got = bounded_sample(df, ["id"], 1000).toPandas()
+    assert 800 < len(got) < 1200 and 350 < (got["t"] == "same").sum() < 650
+    assert bounded_sample(df, ["id"], 1000, of=20_000_000_000_000).count() <= 1  # the share is 5e-11
+    assert bounded_sample(df, ["t"], 1000).count() <= 2000  # a bad key: the bound holds
+    assert bounded_sample(df, ["id"], 20_000).count() == 20_000 and bounded_sample(df.limit(0), ["id"], 5).count() == 0
+
+
+def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
+    from kordel import common
+
+    class Conf:
+        get = staticmethod(lambda k, d=None: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:
+            applicationId, master = "app-x", "spark://host:7077"
+            getConf = staticmethod(lambda: Conf)
+
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session).startswith("file:///") and common.shared_dir(Session) == common.shared_dir(Session)
 
 
 def test_accept_cascade(spark):
