@@ -39,10 +39,19 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_form(e, "text", "form", lookalike.member_frequency(_entries(spark, d), "text")).where("form != text").select("src", "lang", "id", "text", "form")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _same_looks(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
     commands = lambda rows: residue.split_residue(rows, "text", e, "text").where("not is_residue")
-    return lookalike.same_look_pairs(e, lookalike.member_frequency(e, "text"), keep=commands)
+    return lookalike.same_look_rows(e, lookalike.member_frequency(e, "text"), keep=commands)
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry whose look others have in different characters, with its class and the number of those others."""
+    return lookalike.same_look_classes(_same_looks(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look_pairs(_same_looks(spark, d))
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
@@ -128,5 +137,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found, p8_leaks, p8_found, p9_rates, p9_shares, p10_sentences, p10_found)
+    f.__name__: f for f in (p1_counts, p1_found, p2_groups, p2_found, p3_forms, p3_classes, p3_found, p4_segments, p4_found, p5_splits, p5_found, p6_scores, p6_found, p7_flags, p7_found, p8_leaks, p8_found, p9_rates, p9_shares, p10_sentences, p10_found)
 }

@@ -9,6 +9,7 @@ of scope `part` are marks (an unfilled slot, a stand-in marker) that condemn the
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.column import Column
 
 from kordel.common import blank, spread
 from kordel.llm import lookalike
@@ -25,8 +27,8 @@ from kordel.llm import lookalike
 CONTAINED, WINDOW = 0.6, 24
 #: An exemplar counts where the window holds at least this share of its distinct tokens.
 EXEMPLAR_SHARE = 0.4
-#: Inverse document frequency is cut at log(RAREST): so at most RAREST * (mean distinct terms a text) terms are ever sent.
-RAREST = 10_000
+#: Inverse document frequency is cut at log(RAREST), and no more than MOST_TERMS terms are ever sent to the executors.
+RAREST, MOST_TERMS = 10_000, 100_000
 
 # Labelled exemplars of scope `whole`. Digits stand for any number.
 WHOLE = """
@@ -167,10 +169,16 @@ MARKS = {
 _MARK = regex.compile("|".join(f"(?P<m{i}>{p})" for i, p in enumerate(MARKS.values())), regex.I)
 _MARK_TOKEN = {f"m{i}": f"\x02{k}" for i, k in enumerate(MARKS)}
 _WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
-_SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_ASCII_WORD = re.compile(r"[A-Za-z]+|[0-9]+")
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_SPACELESS = regex.compile(SPACELESS)
 _FILL = regex.compile(r"^(.)\1{2,}$")
 
 
+_MARKISH = re.compile(r"[{}<>%@\[【&]|__")
+
+
+@lru_cache(200_000)
 def plain_word(word: str) -> str:
     """Lower case and one form: a word of look-alikes that folds to Latin as a whole is Latin, any other keeps its script."""
     if word.isascii():
@@ -179,20 +187,29 @@ def plain_word(word: str) -> str:
     return latin if latin.isascii() else lookalike.fold(word.lower())
 
 
+@lru_cache(200_000)
+def _pieces(word: str) -> tuple[str, ...]:
+    w = plain_word(word)
+    if w[0].isnumeric():
+        return ("0",)
+    if _SPACELESS.search(w):
+        return tuple(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+    return ("xx" if _FILL.match(w) else w,)
+
+
 def tokens(text: str) -> list[str]:
     """Marks as one token each, words in lower case, `0` for a number, two-character pieces of spaceless scripts."""
-    out, rest, at = [], [], 0
-    for m in _MARK.finditer(text):
-        out.append(_MARK_TOKEN[m.lastgroup])
-        rest.append(text[at : m.start()])
-        at = m.end()
-    for w in map(plain_word, _WORD.findall(" ".join(rest) + " " + text[at:] if rest else text)):
-        if w[0].isnumeric():
-            out.append("0")
-        elif _SPACELESS.search(w):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-        else:
-            out.append("xx" if _FILL.match(w) else w)
+    out: list[str] = []
+    if _MARKISH.search(text):
+        rest, at = [], 0
+        for m in _MARK.finditer(text):
+            out.append(_MARK_TOKEN[m.lastgroup])
+            rest.append(text[at : m.start()])
+            at = m.end()
+        if rest:
+            text = " ".join(rest) + " " + text[at:]
+    for w in (_ASCII_WORD if text.isascii() else _WORD).findall(text):
+        out += _pieces(w)
     return out
 
 
@@ -257,27 +274,55 @@ def coverage(toks: list[str], idf: dict[str, float], rarest: float, exemplars: t
     return held / mass if mass else 0.0
 
 
+def _terms(text: Column) -> Column:
+    """The distinct tokens of a text, marks aside, as tokens() cuts them, inside the JVM; look-alikes are not folded."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), 0)
+    pieces = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    cut = lambda w: F.when(F.rlike(w, F.lit(r"^\p{N}")), F.array(F.lit("0"))).when(F.rlike(w, F.lit(SPACELESS)), pieces(w)).otherwise(F.array(w))
+    return F.array_distinct(F.flatten(F.transform(words, cut)))
+
+
 def document_frequency(texts: DataFrame, col: str) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies over all rows, of the terms in more than 1 / RAREST of them; every other term has the
-    top value log(RAREST). Bounded: there are at most RAREST times the mean number of distinct terms a text of those."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), 0), lambda w: F.when(F.rlike(w, F.lit(r"^\p{N}")), F.lit("0")).otherwise(w)))
+    """Inverse document frequencies, counted over all rows. Sent are those of the most frequent MOST_TERMS terms at most; every
+    other term has the weight of the rarest that might be sent, log(RAREST) or less."""
     n = texts.count()
     rows = (
-        texts.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max(1.0, n / RAREST)).collect()
+        texts.select(F.explode(_terms(F.col(col))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > max(1.0, n / RAREST)).orderBy(F.desc("n"), "t").limit(MOST_TERMS).collect()
     )
-    top = math.log(RAREST)
+    top = math.log(RAREST) if len(rows) < MOST_TERMS else min(math.log(RAREST), math.log(n / rows[-1].n))
     return {r.t: min(top, max(0.1, math.log(n / r.n))) for r in rows}, top
 
 
+def key_tokens(weights: dict[str, float], top: float, whole: tuple[str, ...] = tuple(WHOLE)) -> frozenset[str]:
+    """Tokens of which a text holds one if it holds EXEMPLAR_SHARE of any exemplar: of n tokens with k = ceil(share * n) needed,
+    any n - k + 1 will do, so the rarest are taken."""
+    out: set[str] = set()
+    for x in whole:
+        held = sorted(set(tokens(x)), key=lambda t: (-weights.get(t, top), t))
+        need = max(1, math.ceil(EXEMPLAR_SHARE * len(held) - 1e-9))
+        out.update(held[: len(held) - need + 1])
+    return frozenset(out)
+
+
+def _may_hold(text: Column, keys: frozenset[str]) -> Column:
+    """False only for ASCII text without a mark's character and without any key token: its coverage is 0."""
+    plain = sorted(k for k in keys if k.isascii() and k.isalpha())
+    found = r"[^\x{0}-\x{7f}]|[{}<>%@\[]|&lt;|__|([a-z])\1\1" + ("|[0-9]" if "0" in keys else "") + r"|(?<![a-z])(?:" + "|".join(plain) + r")(?![a-z])"
+    return F.rlike(F.lower(text), F.lit(found))
+
+
 def residue_scores(texts: DataFrame, col: str, corpus: DataFrame, corpus_col: str, into: str = "coverage") -> DataFrame:
-    """Adds the residue coverage of col, weighted by the frequencies in corpus. Null and blank texts get 0."""
+    """Adds the residue coverage of col, weighted by the frequencies in corpus. Null and blank texts get 0. ASCII texts that can
+    hold no exemplar are told so inside the JVM; the others are scored whole."""
     idf, top = document_frequency(corpus, corpus_col)
-    sent = texts.sparkSession.sparkContext.broadcast(idf)
+    keys = key_tokens(idf, top)
+    sent = texts.sparkSession.sparkContext.broadcast((idf, top, keys))
 
     @F.pandas_udf(T.DoubleType())
     def score(s: pd.Series) -> pd.Series:
-        exemplars, weights, known = index(), sent.value, {}
+        exemplars, known = index(), {}
+        weights, most, hold = sent.value
         out = []
         for t in s:
             if t is None or t != t:
@@ -286,11 +331,15 @@ def residue_scores(texts: DataFrame, col: str, corpus: DataFrame, corpus_col: st
             if t not in known:
                 if len(known) > 50_000:
                     known.clear()
-                known[t] = coverage(tokens(visible(t)), weights, top, exemplars)
+                toks = tokens(visible(t))
+                known[t] = coverage(toks, weights, most, exemplars) if not hold.isdisjoint(toks) or any(x[0] == "\x02" for x in toks) else 0.0
             out.append(known[t])
         return pd.Series(out, dtype="float64")
 
-    return spread(texts).withColumn(into, score(F.col(col)))
+    # not deterministic for the optimiser, which would else move the test below joins that leave few rows
+    run = score.asNondeterministic()
+    open_rows = F.coalesce(_may_hold(F.col(col), keys), F.lit(False))
+    return spread(texts).withColumn(into, F.coalesce(run(F.when(open_rows, F.col(col))), F.lit(0.0)))
 
 
 def entries(canonical: DataFrame, multilingual: DataFrame) -> DataFrame:
