@@ -276,10 +276,10 @@ def coverage(toks: list[str], idf: dict[str, float], rarest: float, exemplars: t
 
 def _terms(text: Column) -> Column:
     """The distinct tokens of a text, marks aside, as tokens() cuts them, inside the JVM; look-alikes are not folded."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), 0)
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\p{N}+", "0"), F.lit(r"[\p{L}\p{M}]+|0"), 0)
     pieces = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-    cut = lambda w: F.when(F.rlike(w, F.lit(r"^\p{N}")), F.array(F.lit("0"))).when(F.rlike(w, F.lit(SPACELESS)), pieces(w)).otherwise(F.array(w))
-    return F.array_distinct(F.flatten(F.transform(words, cut)))
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.rlike(w, F.lit(SPACELESS)), pieces(w)).otherwise(F.array(w))))
+    return F.array_distinct(F.when(F.rlike(text, F.lit(SPACELESS)), cut).otherwise(words))
 
 
 def document_frequency(texts: DataFrame, col: str) -> tuple[dict[str, float], float]:
