@@ -8,8 +8,8 @@ from pyspark.sql.column import Column
 
 from kordel.common import LMN, materialize
 
-#: Keys with at least this many rows are hot, and at least a 1/HOT_KEYS share: so there are at most HOT_KEYS of them.
-HOT_ROWS, HOT_KEYS, SALTS = 1000, 1000, 64
+#: Keys with at least HOT_ROWS rows, which one task can well hold, are hot; HOT_KEYS of them (32 bytes each) are broadcast at once.
+HOT_ROWS, HOT_KEYS, SALTS = 20_000, 100_000, 64
 
 _CUT, _ARG = "\x01", "\x02"
 _QUOTED = r'"(?:\\(?s:.)|[^"\\])*(?:"|\z)'
@@ -58,33 +58,36 @@ def canonical_key(text: Column, intent: Column) -> Column:
     return F.unhex(F.sha2(F.concat(side(text, letters_key(text)), F.lit("\x04"), side(intent, intent_key(intent))), 256))
 
 
-def _hot_split(keyed: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of hot keys (salted) and the rest. Hot keys are counted exactly; their number is bounded by HOT_KEYS."""
-    n = keyed.count()
-    least = max(hot_rows, -(-n // HOT_KEYS))
-    hot = materialize(keyed.groupBy("key").count().where(F.col("count") >= least).select("key"), "hot-keys")
-    return keyed.join(F.broadcast(hot), "key", "left_semi"), keyed.join(F.broadcast(hot), "key", "left_anti")
+def _hot_split(keyed: DataFrame, hot_rows: int, hot_keys: int) -> tuple[list[DataFrame], DataFrame]:
+    """Rows of hot keys, in slices of at most hot_keys keys or thereabouts, and the rest. Hot keys, with more rows than one task
+    should have, are counted exactly; each slice of them is broadcast by itself, however many slices there are."""
+    hot = materialize(keyed.groupBy("key").count().where(F.col("count") >= hot_rows).select("key"), "hot-keys")
+    parts = -(-hot.count() // hot_keys)
+    slices, rest = [], keyed
+    for k in range(parts):
+        some = F.broadcast(hot.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k) if parts > 1 else hot)
+        slices.append(keyed.join(some, "key", "left_semi"))
+        rest = rest.join(some, "key", "left_anti")
+    return slices, rest
 
 
-def representatives(df: DataFrame, id_col: str, text_col: str, intent_col: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def representatives(df: DataFrame, id_col: str, text_col: str, intent_col: str, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> tuple[DataFrame, DataFrame]:
     """(groups, members): groups(key, keep_id, copies) has one row per distinct record, members(keep_id, copy_id) one per
     surplus copy.
 
-    Hot keys go through a salted two-level aggregate and a broadcast of at most HOT_KEYS representatives, so no task
-    sees a whole hot group; all other keys take one shuffle on the key. The representative is the smallest identifier.
-    Rows with a null or empty text or intent are records like any other; an empty table gives empty results.
+    Hot keys go through a salted two-level aggregate and broadcasts of at most about HOT_KEYS representatives, so no task
+    sees a whole hot group; all other keys, of fewer than hot_rows rows each, take one shuffle on the key. The representative
+    is the smallest identifier. Rows with a null or empty text or intent are records like any other; an empty table gives
+    empty results.
     """
     keyed = materialize(df.select(F.col(id_col).alias("id"), canonical_key(F.col(text_col), F.col(intent_col)).alias("key")), "copy-keys")
-    hot, rest = _hot_split(keyed, hot_rows)
-    hot_groups = (
-        hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        .groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-    )
-    rest_groups = rest.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    members = (
-        hot.join(F.broadcast(hot_groups), "key")
-        .unionByName(rest.join(rest_groups.where("copies > 1"), "key"))
-        .where(F.col("id") != F.col("keep_id"))
-        .select("keep_id", F.col("id").alias("copy_id"))
-    )
-    return hot_groups.unionByName(rest_groups), members
+    hot, rest = _hot_split(keyed, hot_rows, hot_keys)
+    groups = rest.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    members = rest.join(groups.where("copies > 1"), "key")
+    for rows in hot:
+        own = (
+            rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+            .groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+        )
+        groups, members = groups.unionByName(own), members.unionByName(rows.join(F.broadcast(own), "key"))
+    return groups, members.where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))

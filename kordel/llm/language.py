@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from kordel.common import blank, norm_key, spread
+from kordel.common import blank, bounded_sample, norm_key, spread
 from kordel.llm import lookalike
 
 #: The classifier is fitted on a sample of about so many labelled rows; everything else covers all rows.
-FIT_ROWS = 24_000
+FIT_ROWS, FIT_LENGTH = 24_000, 2000
 
 # The languages and the family of each.
 FAMILY = {
@@ -273,13 +273,11 @@ def language_name(label: Column) -> Column:
     return F.when(x.isin(LANGUAGES), x)
 
 
-def fit(rows: DataFrame, text: str, label: str, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on a sample of about fit_rows labelled rows, drawn by a hash of the text (a stated bound: at most that many
-    short rows reach the driver)."""
-    labelled = rows.select(language_name(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & ~blank(F.col("t")) & (F.length("t") <= 2000))
-    n = rows.count()
-    share = min(1.0, fit_rows / max(1, n))
-    sample = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000)).toPandas() if share < 1 else labelled.toPandas()
+def fit(rows: DataFrame, text: str, label: str, key: list[str], fit_rows: int = FIT_ROWS, fit_length: int = FIT_LENGTH) -> Model:
+    """Fits on a sample of about fit_rows labelled rows, 2 * fit_rows at most, of texts of up to fit_length characters (a stated
+    bound on what reaches the driver), drawn by a hash of the key columns, which identify a row."""
+    labelled = rows.select(*key, language_name(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & ~blank(F.col("t")) & (F.length("t") <= fit_length))
+    sample = bounded_sample(labelled, key, fit_rows).toPandas()
     pairs = [(a, plain(b)) for a, b in zip(sample["l"], sample["t"], strict=True)]
     first = Model(pairs, with_grams=False)
     agreed = [(a, b) for a, b in pairs if (s := first.segments(b)) and len(s) == 1 and s[0][0] == a]

@@ -114,22 +114,25 @@ class Matcher:
                 left = _common_suffix(s, pos, doc, at)
                 right = _common_prefix(s, pos + p, doc, at + p)
                 done[k, at - pos] = at + p + right
-                if left + p + right >= run:
+                a = pos - left
+                if left + p + right >= run and myers(s[a : a + run], doc[at - left : at - left + run]) == 0:
                     found[k] = 0
                 elif errors and (d := self._near(s, doc, pos - left, pos + p + right, at - pos)):
                     found[k] = min(found.get(k, errors), d)
         return found
 
     def _near(self, s: str, doc: str, a: int, b: int, diagonal: int) -> int:
-        """Windows of `run` letters of the item around its exact run [a, b), by Myers' distance; 0: none within errors."""
-        best = 0
-        half = self.run // (self.errors + 1)
+        """All windows of `run` letters of the item that keep at least the pigeonhole's share of the exact run [a, b), by Myers'
+        distance, the smallest; 0: none within errors."""
+        best, half = 0, self.run // (self.errors + 1)
         if b - a < half or self.errors == 1 and errors_to_spare(s, doc, a, b, diagonal, self.run) > 1:
             return 0
-        for start in {max(0, min(a, len(s) - self.run)), max(0, b - self.run), max(0, min(b - half, len(s) - self.run))}:
+        for start in range(max(0, a + half - self.run), min(b - half, len(s) - self.run) + 1):
             d = myers(s[start : start + self.run], doc[max(0, start + diagonal - self.errors) : start + diagonal + self.run + self.errors])
             if 0 < d <= self.errors and (not best or d < best):
                 best = d
+                if best == 1:
+                    break
         return best
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kordel.common import materialize, spread
+from kordel.common import bounded_sample, materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Cells of the histogram by which rounding is set right.
@@ -69,15 +69,12 @@ def _features(text) -> np.ndarray:
     return np.asarray(words, dtype=np.int64)
 
 
-def fit_domains(docs: DataFrame, text: str, source: str, domains: list[str], fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def fit_domains(docs: DataFrame, id_col: str, text: str, source: str, domains: list[str], fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(log prior, log word probabilities) by domain, counted by the executors on a sample of about fit_rows labelled
     documents; one vector of BUCKETS numbers a domain comes back."""
-    n = docs.count()
-    share = min(1.0, fit_rows / max(1, n))
     at = {d: i for i, d in enumerate(domains)}
-    labelled = docs.select(F.col(source).alias("s"), F.col(text).alias("t")).where("s is not null and t is not null")
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(source).alias("s"), F.col(text).alias("t")).where("s is not null and t is not null")
+    labelled = bounded_sample(labelled, ["id"], fit_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, rows = np.zeros((len(domains), BUCKETS)), np.zeros(len(domains))
@@ -102,7 +99,7 @@ def fit_domains(docs: DataFrame, text: str, source: str, domains: list[str], fit
 def memberships(docs: DataFrame, id_col: str, text: str, source: str, targets: dict[str, tuple[float, int]], path: str = TOKENIZER) -> tuple[DataFrame, list[str]]:
     """(id, source, tokens, cap, p array<double>) and the order of domains; documents of a source without a target have cap 0."""
     domains = [*sorted(targets), OTHER]
-    prior, words = fit_domains(docs, text, source, domains)
+    prior, words = fit_domains(docs, id_col, text, source, domains)
     at = {d: i for i, d in enumerate(domains)}
     caps = np.array([float(targets[d][1]) if d in targets else 0.0 for d in domains])
     sent = docs.sparkSession.sparkContext.broadcast((prior, words))

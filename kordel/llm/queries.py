@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kordel.common import shared_dir, table
+from kordel.common import scratch, table
 from kordel.llm import copies, defects, frequency, language, leaks, lookalike, mixing, residue, sentences, splits
 
 
@@ -55,7 +54,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
-    return language.fit(table(spark, d, "families"), "input", "language")
+    return language.fit(table(spark, d, "families"), "input", "language", ["fam_id"])
 
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -74,23 +73,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b.where("not is_residue").select(F.lit("canonical").alias("src"), "rec_id", "lang"))
 
 
-def p5_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every row with its component and split, from an empty component store."""
+def _split_store(spark: SparkSession, d: str) -> splits.SplitStore:
+    """All of canonical taken into an empty store in two batches, as it would come in: rows that reached us within a day of
+    their making first, late rows and those of unknown age then."""
     shares = {r.split_name: r.target_share for r in table(spark, d, "split_shares").collect()}
-    store = splits.SplitStore(spark, f"{shared_dir(spark)}/kordel/splits-{uuid.uuid4().hex[:12]}")
-    return store.update(table(spark, d, "canonical"), "canon_id", ["intent", "input"], table(spark, d, "entities"), shares).select(F.col("id").alias("canon_id"), "component", "split")
+    store, rows = splits.SplitStore(spark, scratch(spark, "splits")), table(spark, d, "canonical")
+    early = F.coalesce(F.col("loaded_at") <= F.col("created_at") + F.expr("interval 1 day"), F.lit(False))
+    for batch in (rows.where(early), rows.where(~early)):
+        store.update(batch, "canon_id", ["intent", "input"], table(spark, d, "entities"), shares)
+    return store
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its component and split; quarantine where a later batch has tied two splits together."""
+    return _split_store(spark, d).members().withColumnRenamed("id", "canon_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    g = splits.groups(table(spark, d, "canonical"), "canon_id", ["intent", "input"], table(spark, d, "entities"))
-    return g.where("id != group_id").select("group_id", F.col("id").alias("canon_id"))
+    rows = _split_store(spark, d).members().where(~F.startswith("component", F.lit("\x01")))  # not alone
+    least = rows.groupBy("component").agg(F.min("id").alias("group_id"))
+    return rows.join(least, "component").where("id != group_id").select("group_id", F.col("id").alias("canon_id"))
 
 
 def p7_flags(spark: SparkSession, d: str) -> DataFrame:
     """Defective pairs with their texts. Inputs of problem 6 have no defect."""
     registry = frozenset(r.op.lower() for r in table(spark, d, "op_registry").select("op").collect())
     pairs = defects.pairs_of(table(spark, d, "canonical"), table(spark, d, "distill"))
-    flagged = defects.flag(pairs, registry, _language_model(spark, d), defects.fit_contexts(pairs, registry)).where("defect is not null")
+    flagged = defects.flag(pairs, registry, _language_model(spark, d), defects.fit_contexts(pairs, registry, ["src", "rec_id"])).where("defect is not null")
     return residue.split_residue(flagged, "text", pairs, "text").where("not is_residue").drop("is_residue")
 
 

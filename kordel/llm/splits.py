@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from kordel.common import materialize
+from kordel.common import discard, materialize
 from kordel.llm import lookalike
 
 #: Components with more than 1 / LARGE of all rows are placed one by one: there are fewer than LARGE of them.
 LARGE, MAX_ROUNDS = 1000, 60
 QUARANTINE = "quarantine"
 _LATIN = r"[\p{IsLatin}\p{M}]+"
+_TOKEN = rf"{_LATIN}|\p{{N}}+|[^\s\p{{Z}}]"
 
 
 def _looks(c: Column) -> Column:
@@ -33,25 +34,35 @@ def _looks(c: Column) -> Column:
     return F.lower(F.coalesce(F.when(~odd, c), fold(F.when(odd, c))))
 
 
+def _tokens(look: Column) -> Column:
+    """Runs of Latin letters, runs of digits, and every other visible character by itself."""
+    return F.regexp_extract_all(look, F.lit(_TOKEN), 0)
+
+
 def mentions(rows: DataFrame, id_col: str, text_cols: list[str], entities: DataFrame, name_col: str = "entity_name") -> DataFrame:
     """(id, entity) distinct pairs; entity is the name as it looks, in lower case.
 
-    A name counts where it stands whole, no Latin letter touching. Names of several words are found as runs of as many
-    words, up to the longest name. Entities are joined, never broadcast. Null texts name nothing.
-    """
-    names = entities.select(F.regexp_replace(_looks(F.col(name_col)), r"\s+", " ").alias("entity")).where("entity is not null and entity != ''").distinct()
-    words = F.regexp_extract_all(F.col("entity"), F.lit(_LATIN), 0)
-    names = names.withColumn("n", F.size(words)).withColumn("key", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("entity")))
-    longest = names.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    A name counts where it stands whole, mark for mark, no Latin letter touching; how wide its spaces are does not matter. Runs
+    of tokens of the lengths that names have are joined with the names, which are never broadcast: a text gives as many
+    keys as it has tokens for each such length, and only keys that begin as some name does. Null texts name nothing."""
+    names = entities.select(F.regexp_replace(_looks(F.col(name_col)), r"\s+", " ").alias("entity")).where("entity is not null").distinct()
+    toks = _tokens(F.col("entity"))
+    names = names.select("entity", F.size(toks).alias("n"), F.array_join(toks, " ").alias("key")).where("n > 0").withColumn("latin", F.rlike("key", F.lit(f"^{_LATIN}")))
+    kinds = sorted((r.n, r.latin) for r in names.groupBy("n", "latin").count().collect())  # two a length of name at most
     text = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.col(c) for c in text_cols])).alias("t")).where("t is not null")
-    text = text.select("id", _looks(F.col("t")).alias("look")).select("id", F.regexp_extract_all(F.col("look"), F.lit(_LATIN), 0).alias("toks"))
-    toks = F.col("toks")
+    text = text.select("id", _tokens(_looks(F.col("t"))).alias("toks")).where(F.size("toks") > 0)
+    held = F.col("toks")
 
     def runs(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, k), " "))
+        grams = held if k == 1 else F.transform(F.sequence(F.lit(1), F.greatest(F.size(held) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(held, i, k), " "))
+        which = {latin for n, latin in kinds if n == k}
+        return grams if len(which) == 2 else F.filter(grams, lambda g: F.rlike(g, F.lit(f"^{_LATIN}")) == F.lit(True in which))
 
-    grams = F.concat(toks, *[runs(k) for k in range(2, longest + 1)])
-    return text.select("id", F.explode(F.array_distinct(grams)).alias("key")).join(names.select("key", "entity"), "key").select("id", "entity").distinct()
+    lengths = sorted({n for n, _ in kinds})
+    if not lengths:
+        return text.select("id", F.lit("").alias("entity")).where("false")
+    keys = text.select("id", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, lengths))))).alias("key"))
+    return keys.join(names.select("key", "entity"), "key").select("id", "entity").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -63,6 +74,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = M
     both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct(), "edges")
     nodes = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).where("node is not null").distinct()
     label = materialize(nodes.join(both.groupBy("x").agg(F.min("y").alias("m")), F.col("node") == F.col("x"), "left").select("node", F.least("node", "m").alias("component")), "labels")
+    last = label
     for _ in range(max_rounds):
         # hook: the root of a node takes the smallest root among the node's neighbours
         l1, l2 = label.select(F.col("node").alias("x"), F.col("component").alias("cx")), label.select(F.col("node").alias("y"), F.col("component").alias("cy"))
@@ -70,33 +82,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = M
         hooked = label.join(hooks, F.col("component") == F.col("root"), "left").select("node", F.coalesce("to", "component").alias("component"), F.col("root").isNotNull().alias("moved"))
         hooked = materialize(hooked, "hooked")
         if not hooked.where("moved").limit(1).count():
+            discard(hooked)
+            discard(both)
             return label
+        discard(last)
+        last = hooked
         label = hooked.select("node", "component")
         # jump until every pointer is at its root
         for _ in range(max_rounds):
             up = label.select(F.col("node").alias("p"), F.col("component").alias("pp"))
             jumped = materialize(label.join(up, F.col("component") == F.col("p"), "left").select("node", F.coalesce("pp", "component").alias("component"), (F.coalesce(F.col("pp"), F.col("component")) != F.col("component")).alias("moved")), "jumped")
-            label = jumped.select("node", "component")
+            discard(last)
+            last, label = jumped, jumped.select("node", "component")
             if not jumped.where("moved").limit(1).count():
                 break
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def entity_components(pairs: DataFrame) -> DataFrame:
-    """(node, component) of the entities in pairs(id, entity): each record ties its entities to the smallest of them."""
-    firsts = pairs.groupBy("id").agg(F.min("entity").alias("first"))
-    edges = pairs.join(firsts, "id").select(F.col("first").alias("a"), F.col("entity").alias("b")).distinct()
-    return components(edges)
-
-
-def groups(rows: DataFrame, id_col: str, text_cols: list[str], entities: DataFrame) -> DataFrame:
-    """(id, component, group_id) of the records that name an entity; group_id is the smallest id of the component."""
-    pairs = materialize(mentions(rows, id_col, text_cols, entities), "mentions")
-    member = pairs.groupBy("id").agg(F.min("entity").alias("node")).join(entity_components(pairs), "node").select("id", "component")
-    member = materialize(member, "members")
-    return member.join(member.groupBy("component").agg(F.min("id").alias("group_id")), "component")
-
-
 def fill_deficits(sizes: DataFrame, shares: dict[str, float], have: dict[str, int] | None = None) -> DataFrame:
     """sizes(component, rows) -> (component, split). Large components, fewer than LARGE, are placed one by one where most is
     lacking; all others go by a hash of their name, in proportion to what each split then lacks."""
@@ -126,7 +128,8 @@ def fill_deficits(sizes: DataFrame, shares: dict[str, float], have: dict[str, in
 
 
 class SplitStore:
-    """Persisted tables under a folder: generation-n/{nodes(node, component), splits(component, split, rows)}."""
+    """Persisted tables under a folder: generation-n/{nodes(node, component), splits(component, split, rows), members(id, node)};
+    members of a generation are those of its batch, the other two tables are whole."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -148,23 +151,37 @@ class SplitStore:
         at = f"{self.path}/generation-{n}"
         return self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/splits")
 
+    def members(self) -> DataFrame:
+        """(id, component, split) of all rows of all batches, as things stand now. Rows without an entity are components of their
+        own."""
+        nodes, splits = self.tables()
+        rows = self.spark.read.parquet(*[f"{self.path}/generation-{k}/members" for k in range(1, self.generation() + 1)])
+        return rows.join(nodes, "node", "left").select("id", F.coalesce("component", "node").alias("component")).join(splits.select("component", "split"), "component")
+
     def update(self, rows: DataFrame, id_col: str, text_cols: list[str], entities: DataFrame, shares: dict[str, float]) -> DataFrame:
-        """Takes a batch in; (id, component, split) of its rows. Rows without an entity are components of their own."""
+        """Takes a batch in; (id, component, split) of its rows. Only the components that the batch touches are worked on: its
+        links are lifted to the components known so far, and what is left of them is merged by pointer jumping."""
         old_nodes, old_splits = self.tables()
         pairs = materialize(mentions(rows, id_col, text_cols, entities), "mentions")
         firsts = pairs.groupBy("id").agg(F.min("entity").alias("first"))
-        edges = pairs.join(firsts, "id").select(F.col("first").alias("a"), F.col("entity").alias("b")).distinct()
-        nodes = components(edges.unionByName(old_nodes.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        alone = F.concat(F.lit("\x01"), F.col(id_col).cast("string"))
-        member = materialize(
-            rows.select(F.col(id_col).alias("id"), alone.alias("own"))
-            .join(firsts.withColumnRenamed("first", "node"), "id", "left").join(nodes, "node", "left")
-            .select("id", F.coalesce("component", "own").alias("component")), "members",
-        )
+        known = lambda side: old_nodes.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+        links = pairs.join(firsts, "id").select(F.col("first").alias("a"), F.col("entity").alias("b")).distinct()
+        links = links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+        lifted = links.where("a_in is null or b_in is null or a_in != b_in").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).distinct()
+        moved = components(materialize(lifted, "links"))
+        now = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        fresh = moved.join(old_nodes.select("node"), "node", "left_anti")
+        at = f"{self.path}/generation-{self.generation() + 1}"
+        old_nodes.join(now, "component", "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(fresh.select("node", "component")).write.mode("overwrite").parquet(f"{at}/nodes")
+        nodes = self.spark.read.parquet(f"{at}/nodes")
+        alone = F.concat(F.lit("\x01"), F.col("id").cast("string"))
+        rows.select(F.col(id_col).alias("id")).join(firsts, "id", "left").select("id", F.coalesce("first", alone).alias("node")).write.mode("overwrite").parquet(f"{at}/members")
+        mine = self.spark.read.parquet(f"{at}/members")
+        member = mine.join(nodes, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
         added = member.groupBy("component").agg(F.count(F.lit(1)).alias("added"))
         # old components by the component they are now part of
-        moved = old_splits.join(nodes.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select(F.coalesce("now", "component").alias("component"), "split", "rows")
-        kept = moved.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("rows").alias("rows"))
+        then = old_splits.join(now, "component", "left").select(F.coalesce("now", "component").alias("component"), "split", "rows")
+        kept = then.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("rows").alias("rows"))
         state = materialize(
             added.join(kept, "component", "full").select(
                 "component", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), QUARANTINE).alias("split"),
@@ -173,10 +190,9 @@ class SplitStore:
         )
         have = {r.split: r.n for r in state.where("split is not null").groupBy("split").agg(F.sum("rows").alias("n")).collect()}
         have.pop(QUARANTINE, None)
-        fresh = fill_deficits(state.where("split is null").select("component", "rows"), shares, have)
-        splits = state.join(fresh.withColumnRenamed("split", "new"), "component", "left").select("component", F.coalesce("split", "new").alias("split"), "rows")
-        at = f"{self.path}/generation-{self.generation() + 1}"
-        nodes.write.mode("overwrite").parquet(f"{at}/nodes")
-        splits.write.mode("overwrite").parquet(f"{at}/splits")
+        placed = fill_deficits(state.where("split is null").select("component", "rows"), shares, have)
+        state.join(placed.withColumnRenamed("split", "new"), "component", "left").select("component", F.coalesce("split", "new").alias("split"), "rows").write.mode("overwrite").parquet(f"{at}/splits")
         self.spark.range(1).write.mode("overwrite").parquet(f"{at}/done")
+        for x in (pairs, state):
+            discard(x)
         return member.join(self.spark.read.parquet(f"{at}/splits").select("component", "split"), "component")

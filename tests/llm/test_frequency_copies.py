@@ -53,6 +53,13 @@ def test_hot_key_is_salted_and_whole(spark):
     assert groups.count() == 2001
 
 
+def test_more_hot_keys_than_one_broadcast(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("key "), (F.col("id") % 8).cast("string")).alias("t"), F.lit(None).cast("string").alias("i"))
+    groups, members = copies.representatives(df, "id", "t", "i", hot_rows=100, hot_keys=3)
+    assert {(r.keep_id, r.copies) for r in groups.collect()} == {(k, 500) for k in range(8)}
+    assert {(r.keep_id, r.copy_id) for r in members.collect()} == {(i % 8, i) for i in range(8, 4000)}
+
+
 def test_quotes_shield_separators(spark):
     df = spark.createDataFrame([(1, "x", '. a.b :t="p; q -> r"'), (2, "x", '. a.b :t="p q r"'), (3, "x", ". a.b :t=p ; q -> r")], "id long, t string, i string")
     assert {(r.keep_id, r.copy_id) for r in copies.representatives(df, "id", "t", "i")[1].collect()} == {(1, 2)}

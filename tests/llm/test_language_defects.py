@@ -13,7 +13,7 @@ OPS = frozenset("message.send payment.send memory.store call.start time.now time
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return language.fit(table(spark, DIR, "families"), "input", "language")
+    return language.fit(table(spark, DIR, "families"), "input", "language", ["fam_id"])
 
 
 TEXTS = {
@@ -55,12 +55,31 @@ CASES = [
 
 def test_defects(spark, model):
     df = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(CASES)], "id long, text string, answer string")
-    ends = defects.fit_contexts(df, OPS)
+    ends = defects.fit_contexts(df, OPS, ["id"])
     got = {r.id: r.defect for r in defects.flag(df, OPS, model, ends).collect()}
     assert [(CASES[i], got[i]) for i in got if got[i] != CASES[i][2]] == []
     assert defects.flag(df.limit(0), OPS, model, ends).count() == 0
 
 
+def test_copies_are_told_by_compression(monkeypatch):
+    """A near copy is found, a part or another text is not, and nothing is a copy if the compressor sees no gain."""
+    inp = defects.Letters("call Bob about the red car tomorrow")
+    assert defects.is_copy("Call Bob about the big red car tomorrow!", inp) and defects.is_copy("CALL BOB ABOUT THE RED CAR TOMORROW", inp)
+    assert not defects.is_copy("call Bob", inp) and not defects.is_copy("pay Ann five dollars for the green bicycle", inp) and not defects.is_copy("", inp)
+    assert defects.is_copy("the red car tomorrow", defects.Letters("The red car tomorrow"), whole=True)
+    assert not defects.is_copy("Bob about the red car tomorrow", inp, whole=True)
+    assert defects.is_copy("stop", defects.Letters("Stop!")) and not defects.is_copy("stop", defects.Letters("Stop!"), whole=True)
+    monkeypatch.setattr(defects, "_net", lambda data, prompt: len(data))
+    assert not defects.is_copy("CALL BOB ABOUT THE RED CAR TOMORROW", inp)
+
+
+def test_fit_survives_one_text_in_half_the_rows(spark):
+    rows = [(i, "call Bob now" if i % 2 else f"turn the {i} kettle on", "english") for i in range(3000)] + [(9000 + i, f"переведи {i} рублей", "russian") for i in range(1500)] + [(20000 + i, f"llama a {i} por favor mañana", "spanish") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, t string, l string")
+    m = language.fit(df, "t", "l", ["id"], fit_rows=600)
+    assert m.segments("turn the kettle on")[0][0] == "english" and m.segments("переведи рублей")[0][0] == "russian"
+
+
 def test_long_copy(spark, model):
     long = "word " * 20000
     assert defects.defect(long, long.upper(), OPS, model, defects.TerminalContexts([], OPS)) == "copy"

@@ -53,8 +53,45 @@ def test_store_keeps_splits_and_quarantines_conflicts(spark, tmp_path):
     assert store.generation() == 2
 
 
-def test_empty(spark):
+def test_names_with_digits_marks_and_other_scripts(spark):
+    names = ["Project 7", "Project 8", "O'Brien", "北京", "Ann", "R2-D2"]
+    e = spark.createDataFrame(list(enumerate(names)), "entity_id long, entity_name string")
+    rows = {1: "open project 7 now", 2: "open project", 3: "the o, brien", 4: "ask O'BRIEN", 5: "我在北京工作", 6: "Anna", 7: "5Ann5 (r2-d2)", 8: "project 75", 9: "project  8"}
+    df = spark.createDataFrame(list(rows.items()), "id long, a string")
+    got = {(x.id, x.entity) for x in splits.mentions(df, "id", ["a"], e).collect()}
+    assert got == {(1, "project 7"), (4, "o'brien"), (5, "北京"), (7, "ann"), (7, "r2-d2"), (9, "project 8")}
+
+
+def test_batches_end_in_the_components_of_all_rows(spark, tmp_path):
+    r = random.Random(7)
+    name = lambda i: f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    e = spark.createDataFrame([(i, name(i)) for i in range(120)], "entity_id long, entity_name string")
+    told = {i: [r.randrange(120) for _ in range(r.choice((0, 1, 1, 2)))] for i in range(240)}
+    df = spark.createDataFrame([(i, " and ".join(map(name, x)) or None) for i, x in told.items()], "id long, a string")
+    store = splits.SplitStore(spark, f"file://{tmp_path}/store")
+    before = {}
+    for k in range(3):
+        store.update(df.where(F.col("id") % 3 == k), "id", ["a"], e, {"train": 0.7, "test": 0.3})
+        now = {x.id: (x.component, x.split) for x in store.members().collect()}
+        assert len(now) == 80 * (k + 1)
+        assert all(now[i][1] in (s, splits.QUARANTINE) for i, (_, s) in before.items())
+        before = now
+    roots = _roots([(f"n{x[0]}", f"n{y}") for x in told.values() if x for y in x])
+    groups = {}
+    for i, (c, s) in before.items():
+        groups.setdefault(c, set()).add((i, s))
+    want = {}
+    for i, x in told.items():
+        want.setdefault(roots[f"n{x[0]}"] if x else i, set()).add(i)
+    assert sorted(sorted(i for i, _ in g) for g in groups.values()) == sorted(map(sorted, want.values()))
+    assert all(len({s for _, s in g}) == 1 for g in groups.values())
+    assert any(s == splits.QUARANTINE for _, s in before.values())
+
+
+def test_empty(spark, tmp_path):
     e = spark.createDataFrame([], "entity_id long, entity_name string")
     rows = spark.createDataFrame([(1, "x")], "id long, a string")
-    assert splits.groups(rows, "id", ["a"], e).count() == 0
-    assert splits.groups(rows.limit(0), "id", ["a"], e.union(spark.createDataFrame([(1, "Bobo")], e.schema))).where(F.lit(True)).count() == 0
+    assert splits.mentions(rows, "id", ["a"], e).count() == 0
+    store = splits.SplitStore(spark, f"file://{tmp_path}/store")
+    assert store.update(rows, "id", ["a"], e, {"train": 1.0}).count() == 1 and store.update(rows.limit(0), "id", ["a"], e, {"train": 1.0}).count() == 0
+    assert [(r.id, r.split) for r in store.members().collect()] == [(1, "train")]
