@@ -50,13 +50,16 @@ def mentions(rows: DataFrame, id_col: str, text_cols: list[str], entities: DataF
     names = names.select("entity", F.size(toks).alias("n"), F.array_join(toks, " ").alias("key")).where("n > 0").withColumn("latin", F.rlike("key", F.lit(f"^{_LATIN}")))
     kinds = sorted((r.n, r.latin) for r in names.groupBy("n", "latin").count().collect())  # two a length of name at most
     text = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.col(c) for c in text_cols])).alias("t")).where("t is not null")
-    text = text.select("id", _tokens(_looks(F.col("t"))).alias("toks")).where(F.size("toks") > 0)
+    # names of one Latin word each, the common case, need no other tokens
+    words_only = kinds == [(1, True)]
+    look = _looks(F.col("t"))
+    text = text.select("id", (F.regexp_extract_all(look, F.lit(_LATIN), 0) if words_only else _tokens(look)).alias("toks")).where(F.size("toks") > 0)
     held = F.col("toks")
 
     def runs(k: int) -> Column:
         grams = held if k == 1 else F.transform(F.sequence(F.lit(1), F.greatest(F.size(held) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(held, i, k), " "))
         which = {latin for n, latin in kinds if n == k}
-        return grams if len(which) == 2 else F.filter(grams, lambda g: F.rlike(g, F.lit(f"^{_LATIN}")) == F.lit(True in which))
+        return grams if len(which) == 2 or words_only else F.filter(grams, lambda g: F.rlike(g, F.lit(f"^{_LATIN}")) == F.lit(True in which))
 
     lengths = sorted({n for n, _ in kinds})
     if not lengths:
