@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kordel.common import blank, bounded_sample, spread
+from kordel.common import blank, spread
 from kordel.llm import language, lookalike, residue
 
-#: The terminal-context model is fitted on at most about so many rows. A value that ends inside a run of letters is
-#: cut off if such ends make up less than UNUSUAL of its argument's.
-FIT_ROWS, FIT_LENGTH, UNUSUAL, FEW = 20_000, 4000, 0.2, 20
+#: A value that ends inside a run of letters is cut off if such ends make up less than UNUSUAL of its argument's; fewer than
+#: FEW ends of an argument say nothing.
+UNUSUAL, FEW = 0.2, 20
 #: Net compressed size of a copy given its prompt, as a share of that without; bytes from which zstandard can tell; a value
 #: of at least PLAIN_SHARE of its text is looked at closely.
 COPY_RATIO, SHORTEST, SELF_SAME, PLAIN_SHARE = 0.7, 8, 8, 0.8
@@ -75,6 +76,7 @@ _ARG = re.compile(rf"\s*:\s*([^\s:=\"]+)\s*=\s*({_QUOTED}|[^\s\"]\S*)\s*", re.S)
 _OP = re.compile(r"[a-z_]\w*(?:\.\w+)+", re.I)
 _NAMESPACE = re.compile(r"\s*\.\s*[a-z_]\w*\.?\w*\Z", re.I)
 _WRAP = re.compile(r"\A\s*(?:(?:output|answer|response|assistant)\s*:)?\s*(?:```\w*\s*)?(.*?)(?:\s*```)?\s*(?:<end>|<\|end\|>|</s>|<\|endoftext\|>)?\s*\Z", re.I | re.S)
+_WRAP_START = re.compile(r"(?:(?:output|answer|response|assistant)\s*:)?\s*(?:```\w*\s*)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z]")
 _LMN = regex.compile(r"[\p{L}\p{M}\p{N}]")
@@ -108,23 +110,31 @@ def _one_form(text: str) -> str:
     return _WORD.sub(lambda m: residue.plain_word(m[0]), text)
 
 
+class _OnlyLetters(dict):
+    """For str.translate."""
+
+    def __missing__(self, o: int) -> int | None:
+        v = self[o] = o if _is_letter(chr(o)) else None
+        return v
+
+
+_ONLY_LETTERS = _OnlyLetters()
+
+
 class Letters:
     """The letters of a text in lower case, and for each what follows it: end, punctuation, space, same, other."""
 
-    __slots__ = ("text", "after")
+    __slots__ = ("text", "_form", "_at")
 
     def __init__(self, text: str):
-        s = text.lower() if text.isascii() else _one_form(residue.visible(text))
-        out, at = [], []
-        for i, ch in enumerate(s):
-            if _is_letter(ch):
-                out.append(ch)
-                at.append(i)
-        self.text = "".join(out)
-        self.after = (s, at)
+        self._form = text.lower() if text.isascii() else _one_form(residue.visible(text))
+        self.text = self._form.translate(_ONLY_LETTERS)
+        self._at: list[int] | None = None  # of the letters in _form, once they are asked for
 
     def context(self, end: int) -> str:
-        s, at = self.after
+        s, at = self._form, self._at
+        if at is None:
+            at = self._at = [i for i, ch in enumerate(s) if _ONLY_LETTERS[ord(ch)] is not None]
         i = at[end - 1] + 1
         if i >= len(s):
             return "end"
@@ -149,6 +159,9 @@ class Letters:
 
 
 def unwrap(answer: str) -> str:
+    answer = answer.strip()
+    if answer[-1:] not in ("`", ">"):  # nothing at the end to take off, and the lazy match is slow
+        return answer[_WRAP_START.match(answer).end() :]
     return _WRAP.match(answer)[1].strip()
 
 
@@ -240,30 +253,44 @@ class Answer:
         self.values = values
 
 
+def _ending(found: list[str]) -> str:
+    """What the contexts of a value come to: it ends a word somewhere, or else a run of another kind, or none."""
+    if any(c in ("end", "punct", "space") for c in found):
+        return "word"
+    return "other" if "other" in found else "same"
+
+
 class TerminalContexts:
-    """Shares of what follows a value in its input, by argument and kind of its last letter."""
+    """Counts of what follows a value in its input, by argument and kind of its last letter."""
 
-    def __init__(self, rows: list[tuple[str, str]], ops: frozenset[str]):
+    def __init__(self, rows: Iterable[tuple[str, str]], ops: frozenset[str]):
         self.n: Counter = Counter()
         for text, raw in rows:
-            a = Answer(raw, ops)
-            if a.kind != "program":
+            self.add(text, raw, ops)
+
+    def add(self, text: str, raw: str, ops: frozenset[str]) -> None:
+        a = Answer(raw, ops)
+        if a.kind != "program":
+            return
+        inp, ascii_text = None, text.isascii()
+        for k, v in a.values:
+            if ascii_text and v[-1:].isalpha() and _ends_in(v, text):  # as below, without the letters
+                self.n[k, "LATIN", "word"] += 1
+                self.n[k, "LATIN"] += 1
                 continue
-            inp = Letters(text)
-            for k, v in a.values:
-                w = Letters(v).text
-                found = inp.contexts(w) if w else []
-                if found:
-                    best = next((c for c in ("end", "punct", "space", "other") if c in found), "same")
-                    self.n[k, _script(w[-1]), best] += 1
-                    self.n[k, _script(w[-1])] += 1
+            inp = inp or Letters(text)
+            w = Letters(v).text
+            found = inp.contexts(w) if w else []
+            if found:
+                self.n[k, _script(w[-1]), _ending(found)] += 1
+                self.n[k, _script(w[-1])] += 1
 
     def cut_off(self, key: str, inp: Letters, value: str) -> bool:
         w = Letters(value).text
         found = inp.contexts(w) if w else []
-        if not found or any(c in ("end", "punct", "space") for c in found):
+        kind = _ending(found)
+        if not found or kind == "word":
             return False
-        kind = "other" if "other" in found else "same"
         n = self.n[key, _script(w[-1])]
         if n < FEW:
             return kind == "same"
@@ -361,11 +388,39 @@ def _other_language(value: str, text: str, model: language.Model) -> str | None:
     return "wrong_language" if max(p.values()) >= SOME_LANGUAGE and None not in own and sum(p[x] for x in own) <= OWN_LANGUAGE else None
 
 
-def fit_contexts(pairs: DataFrame, ops: frozenset[str], key: list[str], fit_rows: int = FIT_ROWS, fit_length: int = FIT_LENGTH) -> TerminalContexts:
-    """pairs(text, answer). About fit_rows rows, 2 * fit_rows at most, of up to fit_length characters reach the
-    driver, drawn by a hash of the key columns, which identify a row."""
-    usable = pairs.where(F.col("text").isNotNull() & F.col("answer").isNotNull() & (F.length("text") + F.length("answer") <= fit_length))
-    return TerminalContexts([(r.text, r.answer) for r in bounded_sample(usable, key, fit_rows).select("text", "answer").collect()], ops)
+#: Counts that a task holds before it hands them on.
+_HELD = 100_000
+
+
+def fit_contexts(pairs: DataFrame, ops: frozenset[str], key: list[str] | None = None) -> TerminalContexts:
+    """pairs(text, answer). All rows are counted, by the executors. The driver gets three counts an argument and kind of
+    letter with FEW ends or more: what has fewer is decided without its counts. key: not needed, since no sample is drawn."""
+    usable = pairs.where(F.col("text").isNotNull() & F.col("answer").isNotNull()).select("text", "answer")
+    sent = pairs.sparkSession.sparkContext.broadcast(ops)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        o, ends = sent.value, TerminalContexts([], frozenset())
+
+        def held() -> pd.DataFrame:
+            # an argument's name may come from JSON, with a lone surrogate, which a string column cannot hold
+            rows = [(k[0].encode("utf-8", "surrogatepass"), k[1], n, ends.n[*k, "same"], ends.n[*k, "other"]) for k, n in list(ends.n.items()) if len(k) == 2]
+            ends.n.clear()
+            return pd.DataFrame(rows, columns=["arg", "script", "n", "same", "other"])
+
+        for b in batches:
+            for t, a in zip(b["text"], b["answer"], strict=True):
+                ends.add(t, a, o)
+                if len(ends.n) > _HELD:
+                    yield held()
+        yield held()
+
+    counts = spread(usable).mapInPandas(count, "arg binary, script string, n long, same long, other long")
+    sums = counts.groupBy("arg", "script").agg(*[F.sum(c).alias(c) for c in ("n", "same", "other")]).where(F.col("n") >= FEW)
+    ends = TerminalContexts([], ops)
+    for r in sums.collect():
+        k = (bytes(r.arg).decode("utf-8", "surrogatepass"), r.script)
+        ends.n.update({k: r.n, (*k, "same"): r.same, (*k, "other"): r.other})
+    return ends
 
 
 def flag(pairs: DataFrame, ops: frozenset[str], model: language.Model, ends: TerminalContexts, into: str = "defect") -> DataFrame:
