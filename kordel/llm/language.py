@@ -1,8 +1,8 @@
 """Problem 4: the language of every text and of every segment of a mixed text.
 
 Word-first backoff: a word known to the model is scored by its log frequency per language; an unseen word falls back to
-ever shorter character n-grams. The model is fitted on at most FIT_ROWS labelled rows, twice: the second fit leaves out
-rows whose label the first contradicts, so wrong labels do not teach.
+ever shorter character n-grams. The model is fitted on all labelled rows, twice: the second fit leaves out rows whose label
+the first contradicts, so wrong labels do not teach.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -19,12 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from kordel.common import blank, bounded_sample, norm_key, spread
+from kordel.common import blank, bounded_sample, discard, materialize, norm_key, spread
 from kordel.llm import lookalike
 
-#: The classifier is fitted on a sample of about so many labelled rows; everything else covers all rows.
-FIT_ROWS, FIT_LENGTH = 24_000, 2000
-
 # The languages and the family of each.
 FAMILY = {
     "english": "english", "spanish": "english", "french": "english", "german": "english", "chinese": "cjk", "japanese": "cjk",
@@ -67,8 +67,9 @@ _SCRIPTS = [
         (r"\p{Hebrew}", "hebrew"), (r"\p{Thai}", "thai"), (r"\p{Ethiopic}", "amharic"),
     )
 ]
-#: n-grams of unseen words, longest first; the weight of a language's evidence from them; the floor of a log probability.
-GRAMS, UNSEEN_WEIGHT, FLOOR = (5, 4, 3, 2, 1), 0.25, -8.0
+#: n-grams of unseen words, longest first; the weight of a language's evidence from them; the floor of a log probability; a
+#: word's occurrences in a language that its n-grams count at most; occurrences of an n-gram that say something.
+GRAMS, UNSEEN_WEIGHT, FLOOR, GRAM_MOST, GRAM_LEAST = (5, 4, 3, 2, 1), 0.25, -8.0, 50, 3
 #: A word is known where its occurrences differ from the languages' shares by this log likelihood ratio (the second: among
 #: the languages of its script) and at most two
 #: languages hold KNOWN_SHARE of it; names, which stand in any language, stay unknown. A second segment must win by SEGMENT_GAIN, and so must its language within it.
@@ -79,6 +80,8 @@ def words(text: str) -> list[str]:
     """Words in lower case; spaceless scripts as overlapping pairs of characters."""
     if text.isascii():
         return _ASCII_TOKEN.findall(text.lower())
+    if not _PIECED.search(text):
+        return [w.lower() for w in _TOKEN.findall(text)]
     out: list[str] = []
     for w in _TOKEN.findall(text):
         if len(w) > 2 and _PIECED.match(w):
@@ -130,38 +133,28 @@ def _ratio(own: list[int], sums: dict[str, int], among) -> float:
     return sum(c * math.log(c * mass / (n * m)) for c, m in kept if c)
 
 
+def known_vector(word: str, own: list[int], sums: dict[str, int]) -> tuple[float, ...] | None:
+    """The word's log rates by language less the greatest, if it is known; sums: one more than all words of each language."""
+    rates = [c / sums[x] for c, x in zip(own, LANGUAGES, strict=True)]
+    rates = [r if r > STRAY * max(rates) else 0.0 for r in rates]  # the rest comes from wrong labels and mixtures
+    if sum(sorted(rates)[-2:]) < KNOWN_SHARE * sum(rates) or _ratio(own, sums, LANGUAGES) < KNOWN_RATIO:
+        return None
+    fits = next((ls for p, ls in _SCRIPTS if p.search(word)), frozenset())
+    if len(fits) >= 2 and _ratio(own, sums, fits) < SCRIPT_RATIO:
+        return None
+    return tuple(math.log(r / max(rates)) if r else FLOOR for r in rates)
+
+
+@lru_cache(1000)
+def _unseen_vector(fits: frozenset[str], winner: int | None, foreign: float) -> tuple[float, ...]:
+    return tuple((0.0 if winner is None or i == winner else -UNSEEN_WEIGHT * 4) if x in fits else foreign for i, x in enumerate(LANGUAGES))
+
+
 class Model:
-    """Scores of words and n-grams; picklable, of the size of the fitted sample."""
-
-    def __init__(self, rows: list[tuple[str, str]], with_grams: bool = True):
-        self.counts = {x: Counter() for x in LANGUAGES}
-        for lang, text in rows:
-            self.counts[lang].update(words(text))
-        total = Counter()
-        for c in self.counts.values():
-            total.update(c)
-        sums = {x: sum(c.values()) + 1 for x, c in self.counts.items()}
-        self.known: dict[str, tuple[float, ...]] = {}
-        for w, n in total.items():
-            own = [self.counts[x][w] for x in LANGUAGES]
-            rates = [c / sums[x] for c, x in zip(own, LANGUAGES, strict=True)]
-            rates = [r if r > STRAY * max(rates) else 0.0 for r in rates]  # the rest comes from wrong labels and mixtures
-            fits = next((ls for p, ls in _SCRIPTS if p.search(w)), frozenset())
-            if sum(sorted(rates)[-2:]) >= KNOWN_SHARE * sum(rates) and _ratio(own, sums, LANGUAGES) >= KNOWN_RATIO and (len(fits) < 2 or _ratio(own, sums, fits) >= SCRIPT_RATIO):
-                self.known[w] = tuple(math.log(r / max(rates)) if r else FLOOR for r in rates)
-        grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in GRAMS]
-        for i, x in enumerate(LANGUAGES if with_grams else ()):
-            for w, n in self.counts[x].items():
-                p = f"<{w}>"
-                for g, size in zip(grams, GRAMS, strict=True):
-                    for a in range(len(p) - size + 1):
-                        g[p[a : a + size]][i] += min(n, 50)
-        mass = [[1 + sum(c[i] for c in g.values()) for i in range(len(LANGUAGES))] for g in grams]
-        self.grams = [
-            {k: tuple(math.log((c[i] + 1e-2) / mass[j][i]) for i in range(len(LANGUAGES))) for k, c in g.items() if sum(c.values()) >= 3}
-            for j, g in enumerate(grams)
-        ]
-        del self.counts
+    """Scores of words and n-grams; picklable, of the size of the vocabulary. logs has a row for each of grams."""
+
+    def __init__(self, known: dict[str, tuple[float, ...]], grams: dict[str, int] | None = None, logs: np.ndarray | None = None):
+        self.known, self.grams, self.logs = known, grams or {}, logs
         self._reset()
 
     def _reset(self) -> None:
@@ -171,7 +164,7 @@ class Model:
         self.results: dict[tuple[int, ...], tuple] = {}
 
     def __getstate__(self) -> dict:
-        return {"known": self.known, "grams": self.grams}
+        return {"known": self.known, "grams": self.grams, "logs": self.logs}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -180,25 +173,26 @@ class Model:
     def unseen(self, word: str) -> tuple[float, ...]:
         """Backoff: at each place the longest known n-gram; its evidence is damped, and one class per winner keeps the
         number of different vectors small. Languages of another script are out."""
-        fits = next((ls for p, ls in _SCRIPTS if p.search(word)), frozenset())
+        fits = _SCRIPTS[0][1] if word.isascii() else next((ls for p, ls in _SCRIPTS if p.search(word)), frozenset())
         if not fits:
             return (0.0,) * len(LANGUAGES)
-        p, at, score = f"<{word}>", 0, [0.0] * len(LANGUAGES)
-        while at < len(p):
-            for size, table in zip(GRAMS, self.grams, strict=True):
-                v = table.get(p[at : at + size]) if at + size <= len(p) else None
-                if v:
-                    score = [a + b for a, b in zip(score, v, strict=True)]
-                    at += max(1, size - 1)
-                    break
-            else:
-                at += 1
-        inside = [i for i, x in enumerate(LANGUAGES) if x in fits]
-        order = sorted(inside, key=lambda i: -score[i])
-        clear = len(order) == 1 or score[order[0]] - score[order[1]] > 4
+        winner = None  # of a script of one language there is nothing to choose
+        if self.grams and len(fits) > 1:
+            p, at, found = f"<{word}>", 0, []
+            while at < len(p):
+                for size in GRAMS:
+                    k = self.grams.get(p[at : at + size]) if at + size <= len(p) else None
+                    if k is not None:
+                        found.append(k)
+                        at += max(1, size - 1)
+                        break
+                else:
+                    at += 1
+            score = self.logs[found].sum(axis=0).tolist()
+            order = sorted((i for i, x in enumerate(LANGUAGES) if x in fits), key=lambda i: -score[i])
+            winner = order[0] if score[order[0]] - score[order[1]] > 4 else None
         # a lone word of another script may be a name; only several make a segment
-        foreign = 0.0 if fits == _SCRIPTS[0][1] else -0.75 if _PIECED.match(word) else -2.0
-        return tuple((0.0 if not clear or i == order[0] else -UNSEEN_WEIGHT * 4) if i in inside else foreign for i in range(len(LANGUAGES)))
+        return _unseen_vector(fits, winner, 0.0 if fits == _SCRIPTS[0][1] else -0.75 if _PIECED.match(word) else -2.0)
 
     def word_id(self, word: str) -> int:
         v = self.known.get(word) or self.unseen(word)
@@ -242,9 +236,12 @@ class Model:
         return tuple((LANGUAGES[i], _confidence([sum(v[x] for v in vs[a:b]) for x in range(m)]), a) for i, a, b in out)
 
     def segments(self, text: str) -> tuple:
-        key = []
-        for w in words(plain(text)):
-            k = self.ids.get(w)
+        return self.segments_of(words(plain(text)))
+
+    def segments_of(self, ws: list[str]) -> tuple:
+        key, find = [], self.ids.get
+        for w in ws:
+            k = find(w)
             key.append(self.word_id(w) if k is None else k)
         t = tuple(key)
         found = self.results.get(t)
@@ -273,15 +270,106 @@ def language_name(label: Column) -> Column:
     return F.when(x.isin(LANGUAGES), x)
 
 
-def fit(rows: DataFrame, text: str, label: str, key: list[str], fit_rows: int = FIT_ROWS, fit_length: int = FIT_LENGTH) -> Model:
-    """Fits on a sample of about fit_rows labelled rows, 2 * fit_rows at most, of texts of up to fit_length characters (a stated
-    bound on what reaches the driver), drawn by a hash of the key columns, which identify a row."""
-    labelled = rows.select(*key, language_name(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & ~blank(F.col("t")) & (F.length("t") <= fit_length))
-    sample = bounded_sample(labelled, key, fit_rows).toPandas()
-    pairs = [(a, plain(b)) for a, b in zip(sample["l"], sample["t"], strict=True)]
-    first = Model(pairs, with_grams=False)
-    agreed = [(a, b) for a, b in pairs if (s := first.segments(b)) and len(s) == 1 and s[0][0] == a]
-    return Model(agreed) if agreed else first
+#: Counts that a task holds before it hands them on.
+_HELD = 200_000
+_COUNTS = [f"c{i}" for i in range(len(LANGUAGES))]
+
+
+def _count(df: DataFrame, add: Callable[[pd.DataFrame, list[Counter]], None]) -> DataFrame:
+    """(w, c0, c1, ...): occurrences by language of the strings that add() counts, over all rows of df."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [Counter() for _ in LANGUAGES]
+
+        def held() -> pd.DataFrame:
+            out = pd.DataFrame([(w, i, n) for i, c in enumerate(found) for w, n in c.items()], columns=["w", "i", "n"])
+            for c in found:
+                c.clear()
+            return out
+
+        for b in batches:
+            add(b, found)
+            if sum(map(len, found)) > _HELD:
+                yield held()
+        yield held()
+
+    return df.mapInPandas(count, "w string, i int, n long").groupBy("w").agg(*[F.sum(F.when(F.col("i") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(_COUNTS)])
+
+
+def _known(counts: DataFrame, sums: dict[str, int]) -> dict[str, tuple[float, ...]]:
+    """The known words, decided by the executors, so that no others reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vs = [(w, v) for w, own in zip(b["w"], b[_COUNTS].to_numpy().tolist(), strict=True) if (v := known_vector(w, own, sums))]
+            yield pd.DataFrame(vs, columns=["w", "v"])
+
+    return {r.w: tuple(r.v) for r in counts.mapInPandas(run, "w string, v array<double>").collect()}
+
+
+def _sums(counts: DataFrame, *more) -> tuple[dict[str, int], list[int]]:
+    """One more than all words of each language, and the sums of more columns."""
+    r = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (*_COUNTS, *more)]).first()
+    return {x: n + 1 for x, n in zip(LANGUAGES, r, strict=False)}, list(r)[len(LANGUAGES) :]
+
+
+def _add_grams(b: pd.DataFrame, found: list[Counter]) -> None:
+    ids: dict[str, int] = {}
+    at: list[int] = []
+    many = []
+    for w in b["w"]:
+        p = f"<{w}>"
+        parts = [p[a : a + size] for size in GRAMS for a in range(len(p) - size + 1)]
+        at += [ids.setdefault(g, len(ids)) for g in parts]
+        many.append(len(parts))
+    if not ids:
+        return
+    for c, own in zip(found, _COUNTS, strict=True):
+        sums = np.bincount(at, weights=np.repeat(np.minimum(b[own].to_numpy(), GRAM_MOST), many), minlength=len(ids))
+        c.update({g: int(n) for g, n in zip(ids, sums.tolist(), strict=True) if n})
+
+
+def fit(rows: DataFrame, text: str, label: str, key: list[str], fit_rows: int | None = None) -> Model:
+    """Fits on all labelled rows, of any length: the executors count, and the driver gets the words and n-grams that the model
+    holds. fit_rows: fits on about so many rows, 2 * fit_rows at most, drawn by a hash of the key columns, which identify a row."""
+    labelled = rows.select(*key, language_name(F.col(label)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & ~blank(F.col("t")))
+    if fit_rows is not None:
+        labelled = bounded_sample(labelled, key, fit_rows)
+    place = F.create_map(*[x for i, lang in enumerate(LANGUAGES) for x in (F.lit(lang), F.lit(i))])
+    labelled = spread(labelled.select(place[F.col("l")].alias("l"), "t"))
+
+    def add_all(b: pd.DataFrame, found: list[Counter]) -> None:
+        for i, t in zip(b["l"], b["t"], strict=True):
+            found[i].update(words(plain(t)))
+
+    counts = materialize(_count(labelled, add_all), "words")
+    first = Model(_known(counts, _sums(counts)[0]))
+    discard(counts)
+    sent = rows.sparkSession.sparkContext.broadcast(first)
+
+    def add_agreed(b: pd.DataFrame, found: list[Counter]) -> None:
+        find = sent.value.segments_of
+        for i, t in zip(b["l"], b["t"], strict=True):
+            ws = words(plain(t))
+            s = find(ws)
+            if len(s) == 1 and s[0][0] == LANGUAGES[i]:
+                found[i].update(ws)
+
+    counts = materialize(_count(labelled, add_agreed), "words")
+    sent.unpersist()
+    of_size = lambda size, c: F.least(c, F.lit(GRAM_MOST)) * F.greatest(F.lit(0), F.char_length("w") + (3 - size))
+    sums, mass = _sums(counts, *[of_size(size, F.col(c)) for size in GRAMS for c in _COUNTS])
+    if all(n == 1 for n in sums.values()):  # no label agrees
+        discard(counts)
+        return first
+    known = _known(counts, sums)
+    grams = _count(counts, _add_grams).where(sum(F.col(c) for c in _COUNTS) >= GRAM_LEAST).toArrow()
+    discard(counts)
+    names = grams["w"].to_pylist()
+    masses = 1 + np.array(mass, dtype=np.float64).reshape(len(GRAMS), len(LANGUAGES))
+    size_of = np.array([GRAMS.index(len(g)) for g in names], dtype=np.int64)
+    logs = np.column_stack([grams[c].to_numpy() for c in _COUNTS]).astype(np.float64)
+    return Model(known, {g: k for k, g in enumerate(names)}, np.log((logs + 1e-2) / masses[size_of]))
 
 
 SEGMENT = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("start", T.IntegerType())]))

@@ -216,11 +216,14 @@ def tokens(text: str) -> list[str]:
 _UNSEEN = regex.compile(r"[\p{Cf}]+")
 
 
+_WIDE = regex.compile(r"[\uff01-\uff5e]")
+
+
 def visible(text: str) -> str:
     """Without invisible characters, and widths folded, so that marks and words stand as a reader sees them."""
     if text.isascii():
         return text
-    return regex.sub(r"[\uff01-\uff5e]", lambda m: chr(ord(m[0]) - 0xFEE0), _UNSEEN.sub("", text))
+    return _WIDE.sub(lambda m: chr(ord(m[0]) - 0xFEE0), _UNSEEN.sub("", text))
 
 
 @lru_cache(1)
